@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import line_dedup, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": sharding.op1_sharding}
+    return {"op1_sharding": sharding.op1_sharding, "op4_line_dedup": line_dedup.op4_line_dedup, "op10_warc": warc.op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle_sql()}
+    return {"op1_sharding": sharding.oracle_sql(), "op4_line_dedup": line_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
