@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, sharding, warc
+from . import bpe, line_dedup, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": sharding.op1_sharding, "op4_line_dedup": line_dedup.op4_line_dedup, "op10_warc": warc.op10_warc}
+    return {"op1_sharding": sharding.op1_sharding, "op4_line_dedup": line_dedup.op4_line_dedup, "op10_warc": warc.op10_warc, "op2_bpe": bpe.op2_bpe, "op3_secret_scans": secrets.op3_secret_scans}
 
 
 def oracle_sql() -> dict[str, str]:
