@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, secrets, sharding, warc
+from . import bpe, decontaminate, line_dedup, secrets, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": sharding.op1_sharding, "op4_line_dedup": line_dedup.op4_line_dedup, "op10_warc": warc.op10_warc, "op2_bpe": bpe.op2_bpe, "op3_secret_scans": secrets.op3_secret_scans}
+    return {"op1_sharding": sharding.op1_sharding, "op4_line_dedup": line_dedup.op4_line_dedup, "op10_warc": warc.op10_warc, "op2_bpe": bpe.op2_bpe, "op3_secret_scans": secrets.op3_secret_scans, "op6_decontaminate": decontaminate.op6_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.oracle_sql(), "op4_line_dedup": line_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+    return {"op1_sharding": sharding.oracle_sql(), "op4_line_dedup": line_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL}
