@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, id_key, materialize, table, texts_in_pieces
+from .common import batch, fresh, id_key, materialize, table, texts_in_pieces
 
 #: Code points that a line's key needs to be compared at all.
 MIN_KEY = 10
@@ -110,10 +110,11 @@ def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY, partitions: int | None
     return by_doc.mapInArrow(pack, "doc long, tag long, keep binary")
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the column __keep."""
-    tagged = docs.withColumns({"__doc": id_key(), "__tag": text_tag()})
-    return tagged.join(bitmaps.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("keep").alias("__keep")), ["__doc", "__tag"], "left").drop("__doc", "__tag")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, keep: str) -> DataFrame:
+    """docs with its columns and their bitmap as column `keep`."""
+    doc, tag = fresh(docs, "__doc", "__tag")
+    found = bitmaps.select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("keep").alias(keep))
+    return docs.withColumns({doc: id_key(), tag: text_tag()}).join(found, [doc, tag], "left").select(*docs.columns, keep)
 
 
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
@@ -127,11 +128,11 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
 
 def drop_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """docs with the repeated lines taken out of text (a null text stays null) and n_chars, where there is one, counted anew. No row is dropped."""
-    names = docs.columns
+    names, (keep,) = docs.columns, fresh(docs, "__keep")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in texts_in_pieces(batches, "text"):
-            texts = [t if t is None else kept_lines(t, k)[0] for t, k in zip(b.column("text").to_pylist(), b.column("__keep").to_pylist())]
+            texts = [t if t is None else kept_lines(t, k)[0] for t, k in zip(b.column("text").to_pylist(), b.column(keep).to_pylist())]
             arrays = []
             for n in names:
                 c = b.column(n)
@@ -142,7 +143,7 @@ def drop_lines(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
                 arrays.append(c)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return with_bitmaps(docs, keep_bitmaps(docs, min_key)).mapInArrow(rebuild, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return with_bitmaps(docs, keep_bitmaps(docs, min_key), keep).mapInArrow(rebuild, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
@@ -156,7 +157,7 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_bitmaps(docs, keep_bitmaps(docs)).mapInArrow(digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_bitmaps(docs, keep_bitmaps(docs), "__keep").mapInArrow(digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 ORACLE_SQL = f"""

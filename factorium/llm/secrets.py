@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_key, table
+from .common import fresh, id_key, table
 from .trigrams import Clause, query
 
 
@@ -119,17 +119,18 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     A null text is empty and has none; the text is whole whatever its length; repeated rows are each scanned.
     """
     rules = base + more
-    found = candidates(postings(docs, vocabulary(rules)), rules).withColumnsRenamed({"doc": "__doc", "rules": "__rules"})
-    rows = docs.withColumn("__doc", id_key()).join(found, "__doc", "left").withColumn("__text", F.coalesce("text", F.lit("")))
+    doc, met, text = fresh(docs, "__doc", "__rules", "__text")
+    found = candidates(postings(docs, vocabulary(rules)), rules).withColumnsRenamed({"doc": doc, "rules": met})
+    rows = docs.withColumn(doc, id_key()).join(found, doc, "left").withColumn(text, F.coalesce("text", F.lit("")))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     parts = []
     for i, r in enumerate(rules):
         if r.clauses:
-            tried = F.coalesce(F.col("__rules").bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
+            tried = F.coalesce(F.col(met).bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
         else:
-            tried = F.col("__text").rlike(r.guard) if r.guard else F.lit(True)
-        parts.append(F.when(tried, spans_of(F.col("__text"), r, i)).otherwise(none))
-    return rows.withColumn("secrets", F.array_sort(F.concat(*parts))).drop("__doc", "__rules", "__text")
+            tried = F.col(text).rlike(r.guard) if r.guard else F.lit(True)
+        parts.append(F.when(tried, spans_of(F.col(text), r, i)).otherwise(none))
+    return rows.withColumn("secrets", F.array_sort(F.concat(*parts))).drop(doc, met, text)
 
 
 def written(spans: Column) -> Column:
