@@ -55,7 +55,7 @@ def odometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, k, event_id, x, y, t, seconds): the k-th pose of a user from its k-th event."""
     e = table(spark, sf_dir, "events")
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select("user_id", k.cast("long").alias("k"), "event_id", (F.col("value") / 10.0).alias("x"), ((F.col("event_id") % 17 - 8) / 4.0).alias("y"), ((F.col("event_id") % 29 - 14) / 4.0).alias("t"), F.unix_micros("ts").alias("us"))
+    return e.select("user_id", k.cast("long").alias("k"), "event_id", (F.col("value") / 10.0).alias("x"), ((F.col("event_id") % 17 - 8) / 4.0).alias("y"), ((F.col("event_id") % 29 - 14) / 4.0).alias("t"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
 ODOMETRY = """(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, event_id,
