@@ -26,9 +26,12 @@ from .common import batch, scratch, table, texts_in_pieces
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that the transducer holds at most.
-FREQUENT = 32_768
+FREQUENT = 65_536
 #: Distinct words that a task remembers before it forgets them all, and words that a counting task holds.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+
+#: Letters up to which a word is merged by a plain list, and what stands for no rank.
+SHORT, NO_RANK = 40, 1 << 30
 
 #: The splitter's pattern in the vocabulary file, and the white space that its normalizer makes one blank.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t\n\x0b\x0c\r\x20\x85\xa0\p{L}\p{N}]+")
@@ -57,14 +60,31 @@ class Merger:
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
-
-    def spelled(self, word: str) -> str:
-        return "".join([self.letters[b] for b in word.encode()])
+        self.written = {i: t.encode() + b" " for i, t in self.tokens.items()}
 
     def merge(self, word: str) -> list[int]:
-        """The ids of a word that is not empty. A heap of pairs over a linked list: n log n in the word's length, the leftmost pair of the lowest rank first."""
-        parts: list[str | None] = list(self.spelled(word))
+        """The ids of a word that is not empty: again and again the leftmost pair of the lowest rank becomes one."""
+        parts = [self.letters[b] for b in word.encode()]
         parts[-1] += self.suffix
+        if len(parts) > SHORT:
+            return self.merge_long(parts)
+        get = self.ranks.get
+        found = [get(p, NO_RANK) for p in zip(parts, parts[1:])]
+        while found:
+            least = min(found)
+            if least == NO_RANK:
+                break
+            i = found.index(least)
+            parts[i] += parts.pop(i + 1)
+            del found[i]
+            if i < len(found):
+                found[i] = get((parts[i], parts[i + 1]), NO_RANK)
+            if i:
+                found[i - 1] = get((parts[i - 1], parts[i]), NO_RANK)
+        return [self.vocab[p] for p in parts]
+
+    def merge_long(self, parts: list[str | None]) -> list[int]:
+        """The same by a heap of pairs over a linked list: n log n in the word's length."""
         n = len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         ranks = self.ranks
@@ -198,7 +218,7 @@ class Encoder:
         return out
 
     def pack(self, ids: list[int]) -> tuple[bytes, int, bytes]:
-        return struct.pack(f"<{len(ids)}I", *ids), len(ids), decode(ids, self.path).encode() + b" "
+        return struct.pack(f"<{len(ids)}I", *ids), len(ids), b"".join(map(self.merger.written.__getitem__, ids))
 
     def encode(self, text: str | None) -> tuple[bytes, int, bytes]:
         """Packed ids, how many, and the decoded text."""
