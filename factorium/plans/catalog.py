@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "supplier_fit"
-MODULES = ("q_algebra", "q_geometry", "q_dataset", "q_graph", "q_solve")
+MODULES = ("q_algebra", "q_geometry", "q_dataset", "q_graph", "q_solve", "q_stream", "q_spatial")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
