@@ -7,6 +7,35 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import settle
 
+#: Edges and vertices up to which a graph is worked on by the driver; beyond, by rounds of joins.
+SMALL = 200_000
+
+
+def is_small(vertices: DataFrame, edges: DataFrame, small: int) -> bool:
+    return small > 0 and edges.limit(small + 1).count() <= small and vertices.limit(small + 1).count() <= small
+
+
+class Forest:
+    """Union-find with the least vertex as the root."""
+
+    def __init__(self) -> None:
+        self.top: dict[int, int] = {}
+
+    def find(self, v: int) -> int:
+        root = v
+        while (up := self.top.get(root, root)) != root:
+            root = up
+        while v != root:
+            self.top[v], v = root, self.top.get(v, v)
+        return root
+
+    def union(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.top[max(a, b)] = min(a, b)
+        return True
+
 
 def covisibility(observations: DataFrame) -> DataFrame:
     """(lo, hi, weight) of cameras that see a common landmark, from (line, cam, landmark): 1 for each pair of a new with an earlier observation of it. A camera that sees a landmark twice pairs with itself."""
@@ -32,8 +61,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(v, component): the least vertex that each can reach. Labels fall to the neighbours' least and jump to their label's label until none changes."""
+def components(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(v, component): the least vertex that each can reach. Labels fall to the neighbours' least and jump to their label's label until none changes; up to `small` edges the driver does it."""
+    if is_small(vertices, edges, small):
+        forest = Forest()
+        for r in edges.select("a", "b").toLocalIterator():
+            forest.union(r.a, r.b)
+        return edges.sparkSession.createDataFrame([(r.v, forest.find(r.v)) for r in vertices.select("v").toLocalIterator()], "v long, component long")
     both = settle(undirected(edges))
     labels = settle(vertices.select("v", F.col("v").alias("component")))
     while True:
@@ -50,15 +84,23 @@ def is_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return components(vertices, edges).agg((F.count_distinct("component") <= 1).alias("connected"))
 
 
-def maximum_spanning_tree(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, weight) of the heaviest spanning forest, by Boruvka's rounds: every component takes its heaviest edge out; ties by (a, b)."""
+def maximum_spanning_tree(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(a, b, weight) of the heaviest spanning forest; ties by (a, b). Up to `small` edges by Kruskal on the driver, beyond by Boruvka's rounds: every component takes its heaviest edge out."""
+    if is_small(vertices, edges, small):
+        forest = Forest()
+        best: dict[tuple[int, int], int] = {}
+        for r in edges.where("a <> b").select("a", "b", "weight").toLocalIterator():
+            key = (min(r.a, r.b), max(r.a, r.b))
+            best[key] = max(best.get(key, r.weight), r.weight)
+        rows = [(*k, w) for k, w in sorted(best.items(), key=lambda x: (-x[1], x[0])) if forest.union(*k)]
+        return edges.sparkSession.createDataFrame(rows, "a long, b long, weight long")
     edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.max("weight").alias("weight")))
     tree: DataFrame | None = None
     while True:
         if tree is None:
             labels = vertices.select("v", F.col("v").alias("component"))
         else:
-            labels = components(vertices, tree.select("a", "b"))
+            labels = components(vertices, tree.select("a", "b"), small)
         labels = settle(labels)
         sides = edges.join(labels.select(F.col("v").alias("a"), F.col("component").alias("ca")), "a").join(labels.select(F.col("v").alias("b"), F.col("component").alias("cb")), "b").where("ca <> cb")
         best = F.max(F.struct("weight", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb")))

@@ -50,10 +50,9 @@ def upsert_latest(spark, sf):
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) + 0.0 AS total FROM events GROUP BY event_type")
 def streamed_counts(spark, sf):
     """The events as a stream, drained into a table by one query."""
-    from ..checkpoints import settle
+    from ..checkpoints import shared_folder
 
-    settle(spark.range(1))  # makes sure that there is a checkpoint folder
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, sf, "events")
     stream = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parquet" if os.path.isdir(f"{sf}/events.parquet") else f"{sf}/events*.parquet")
     parts = []

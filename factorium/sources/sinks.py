@@ -105,7 +105,7 @@ def _read(spark: SparkSession, path: str, parse) -> DataFrame:
                 rows = [(file, *r) for r in parse(text)]
                 yield pd.DataFrame(rows, columns=["file", "kind", "id", "cam", "values"]).astype({"cam": "Int64"})
 
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.mapInPandas(run, _OBSERVED)
 
 
