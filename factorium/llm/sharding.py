@@ -135,7 +135,7 @@ WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY i) AS t FROM ({entry})),
 bytes AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
 base AS (
   SELECT doc_id, strlen(text)::BIGINT + 8 AS size,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(h) // 2), lambda i: ((strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT)),
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '[0-9A-F]{{2}}'), lambda p: ((strpos('0123456789ABCDEF', p[1]) - 1) * 16 + strpos('0123456789ABCDEF', p[2]) - 1)::BIGINT)),
       lambda c, v: xor(c // 256, t[(xor(c % 256, v) + 1)::BIGINT])), 4294967295)::BIGINT AS text_crc32,
     ((coalesce(doc_id, {NULL_ID}) % {P1} + {P1}) % {P1} * {BUCKET_FACTOR} % {P1}) % {buckets} AS bucket
   FROM bytes, crc_table),
