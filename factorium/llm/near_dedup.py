@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 #: Members of a leader in a part.
 PART = 500
-#: Leaders of a bucket in the first round, and the factor from round to round.
-LEADERS, MORE_LEADERS = 1, 4
+#: Leaders of a bucket by round, and whether they come from its largest class (to gather what belongs there) or from
+#: outside it (to settle what is left); the last goes on with four times as many from round to round.
+PLAN = ((1, True), (4, True), (8, True), (32, False))
+#: Members of a bucket beyond which its nodes' shingles are looked up in each other.
+CROWD = 200
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -62,14 +65,14 @@ def node_of(doc: int, text: str | None, words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(text.encode(), seed=2) if text is not None else xxhash.xxh3_128_digest(doc.to_bytes(8, "big", signed=True), seed=3)
 
 
-SIGNED = pa.schema([("doc", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per row; the bands are null for a text without words or one that the task has signed already."""
     seen: set[bytes] = set()
     for b in texts_in_pieces(batches, "text", 2_000_000):
-        docs, nodes, bags = b.column("doc").to_pylist(), [], []
+        docs, nodes, bags, sizes = b.column("doc").to_pylist(), [], [], []
         for doc, text in zip(docs, b.column("text").to_pylist()):
             words = words_of(text)
             node = node_of(doc, text, words)
@@ -78,6 +81,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
             seen.add(node)
             nodes.append(node)
+            sizes.append(max(1, len(words) - SHINGLE + 1) if words else 0)
         bands: list = [None] * len(nodes)
         mine = [i for i, s in enumerate(bags) if s is not None]
         mine.sort(key=lambda i: len(bags[i]))
@@ -99,7 +103,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, k in zip(mine[at:to], keys.tolist()):
                 bands[i] = k
             at = to
-        yield batch(SIGNED, doc=docs, node=nodes, bands=bands)
+        yield batch(SIGNED, doc=docs, node=nodes, n=sizes, bands=bands)
 
 
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -161,24 +165,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+KEYS = pa.schema([("node", pa.binary()), ("key", pa.int64())])
+
+
+def shingle_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in texts_in_pieces(batches, "words", 300_000):
+        bags = [bag_keys(zlib.decompress(w).split(b" ")).view(np.int64) for w in b.column("words").to_pylist()]
+        nodes = [n for n, k in zip(b.column("node").to_pylist(), bags) for _ in range(len(k))]
+        yield batch(KEYS, node=nodes, key=np.concatenate(bags) if bags else [])
+
+
+def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, own): how many keys of a node's bag no other of the nodes has."""
+    keys = texts.join(nodes, "node", "left_semi").select("node", "words").mapInArrow(shingle_keys, "node binary, key long")
+    alone = keys.groupBy("key").agg(F.count("*").alias("c"), F.first("node").alias("node")).where("c = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def could_link(n: str, own: str, n2: str, own2: str) -> Column:
+    """Exact bounds on the similarity of two bags from their sizes and own keys: the overlap o is at most the rest of either, and the union at least o and all own keys."""
+    near = F.least(n, n2) >= SIMILARITY * F.greatest(n, n2) - 1e-9
+    rest = F.least(F.col(n) - F.col(own), F.col(n2) - F.col(own2))
+    return near & ((F.col(own) + F.col(own2)) * SIMILARITY <= rest * (1 - SIMILARITY) + 1e-9)
+
+
 def classes_of(members: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(node, class) of the nodes of buckets that are linked with another; members: (bucket, node). None: no link."""
+    """(node, class) of the nodes of buckets that are linked with another; members: (bucket, node, n, own, weight), weight saying how crowded a node's buckets are. None: no link."""
     live = members  # rows that were not a leader yet
     classes: DataFrame | None = None
-    leaders = LEADERS
+    turn = 0
     while True:
+        leaders, gather = PLAN[min(turn, len(PLAN) - 1)]
+        leaders *= 4 ** max(0, turn - len(PLAN) + 1)
         known = live.withColumn("class", F.col("node")) if classes is None else live.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        known = materialize(known.select("bucket", "node", "class"), "live")
+        known = known.select(*members.columns, "class") if classes is None else materialize(known.select(*members.columns, "class"), "live")
         sizes = known.groupBy("bucket", "class").count().groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("count", "class")).alias("largest")).where("classes > 1").drop("classes")
         open_ = materialize(known.join(sizes, "bucket"), "open")
         if not open_.limit(1).count():
             return classes
-        # Leaders: of each of so many shares of a bucket the smallest node, those outside the largest class first.
-        first = F.min(F.struct((F.col("class") == F.col("largest")).alias("inside"), F.col("node"), F.col("class")))
-        chosen = open_.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("share")).agg(first.alias("x")).select("bucket", F.col("x.node").alias("a"), F.col("x.class").alias("of"))
+        # Leaders: of each of so many shares of a bucket the node with the most crowded buckets, from within the largest class or from outside it first.
+        inside = (F.col("class") == F.col("largest")) if gather and turn else F.col("class") != F.col("largest") if turn else F.lit(True)
+        best = F.max_by(F.struct("node", "class", "n", "own"), F.struct(inside.alias("inside"), "weight", "node"))
+        chosen = open_.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("share")).agg(best.alias("x")).select("bucket", F.col("x.node").alias("a"), F.col("x.class").alias("of"), F.col("x.n").alias("an"), F.col("x.own").alias("aown"))
         chosen = materialize(chosen, "leaders")
-        pairs = open_.join(chosen, "bucket").where("class <> of").select("a", F.col("node").alias("b")).distinct()
-        found = materialize(links_of(pairs, texts), "links")
+        pairs = open_.join(chosen, "bucket").where(F.col("class") != F.col("of")).where(could_link("n", "own", "an", "aown")).select("a", F.col("node").alias("b")).distinct()
+        found = materialize(links_of(materialize(pairs, "pairs"), texts), "links")
         if found.limit(1).count():
             by_class = found
             if classes is not None:
@@ -191,21 +222,26 @@ def classes_of(members: DataFrame, texts: DataFrame) -> DataFrame | None:
                 old = classes.join(merged.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("merged", "class").alias("class"))
                 new = merged.join(classes, "node", "left_anti").select("node", F.col("merged").alias("class"))
                 classes = materialize(old.unionByName(new), "classes")
-        live = open_.select("bucket", "node").join(chosen.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        leaders *= MORE_LEADERS
+        live = open_.select(*members.columns).join(chosen.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        turn += 1
 
 
 def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, node) of every row, and (node, first_doc, class_doc) of every node: its smallest id, and its class's."""
     rows = docs.select(id_key().alias("doc"), "text")
-    signed = materialize(rows.mapInArrow(sign, "doc long, node binary, bands array<long>"), "signed")
-    nodes = materialize(signed.groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("bands").alias("bands")), "nodes")
-    banded = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialize(banded.join(shared, "bucket").select("bucket", "node"), "members")
-    wanted = members.select("node").distinct()
-    texts = rows.mapInArrow(packed_words, "node binary, words binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
-    classes = classes_of(members, materialize(texts, "texts"))
+    signed = materialize(rows.mapInArrow(sign, "doc long, node binary, n long, bands array<long>"), "signed")
+    nodes = materialize(signed.groupBy("node").agg(F.min("doc").alias("first_doc"), F.max("n").alias("n"), F.max("bands").alias("bands")), "nodes")
+    banded = nodes.where("bands IS NOT NULL").select("node", "n", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "node", "n", "size"), "members")
+    weights = materialize(members.groupBy("node").agg(F.sum("size").alias("weight"), F.max("size").alias("most")), "weights")
+    texts = materialize(rows.mapInArrow(packed_words, "node binary, words binary").join(weights.select("node"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "texts")
+    crowd = weights.where(F.col("most") > CROWD).select("node")
+    own = own_shingles(crowd, texts)
+    known = weights.join(own, "node", "left").select("node", "weight", F.coalesce("own", F.lit(0)).alias("own"))
+    # A node with more keys of its own than a fifth is like no other.
+    alive = members.join(known, "node").where(F.col("own") <= (1 - SIMILARITY) * F.col("n") + 1e-9).select("bucket", "node", "n", "own", "weight")
+    classes = classes_of(materialize(alive, "alive"), texts)
     firsts = nodes.select("node", "first_doc")
     if classes is None:
         return signed.select("doc", "node"), firsts.withColumn("class_doc", F.col("first_doc"))
