@@ -22,11 +22,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, scratch, table, texts_in_pieces
+from .common import batch, materialize, scratch, table, texts_in_pieces
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that the transducer holds at most.
 FREQUENT = 65_536
+#: Occurrences that a word of the transducer has at least.
+LEAST = 3
 #: Distinct words that a task remembers before it forgets them all, and words that a counting task holds.
 REMEMBERED = 400_000
 
@@ -184,13 +186,24 @@ def ship(spark: SparkSession, content: bytes, name: str) -> str:
     return base
 
 
+def frequent_words(docs: DataFrame, path: str, name: str, frequent: int = FREQUENT) -> list[str]:
+    """At most `frequent` words: all that occur at least as often as a bound that a histogram of the counts gives. Only the histogram and the words above the bound come to the driver."""
+    counts = materialize(count_words(docs, path, name).where(F.col("n") >= LEAST).withColumn("bin", F.floor(F.log2("n") * 8).cast("int")), "words")
+    total, bound = 0, None
+    for r in sorted(counts.groupBy("bin").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.bin):
+        total += r.words
+        if total > frequent:
+            break
+        bound = r.bin
+    return [] if bound is None else sorted(r.word for r in counts.where(F.col("bin") >= bound).select("word").toLocalIterator())
+
+
 def build_lexicon(docs: DataFrame, path: str, name: str, frequent: int = FREQUENT) -> bytes:
-    """The transducer of the corpus's `frequent` most frequent words (ties: the smaller word); an empty corpus gives an empty one."""
+    """The transducer of the corpus's most frequent words; an empty corpus gives an empty one."""
     from .lexicon import compile_lexicon
 
-    top = count_words(docs, path, name).orderBy(F.desc("n"), "word").limit(frequent).collect()
     m = merger(path)
-    return compile_lexicon({r.word.encode(): m.merge(r.word) for r in top if r.word})
+    return compile_lexicon({w.encode(): m.merge(w) for w in frequent_words(docs, path, name, frequent) if w})
 
 
 class Encoder:
