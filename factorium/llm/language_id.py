@@ -26,7 +26,7 @@ TEXTS, CALIBRATION = 2_000, 400
 #: Share of the calibration texts that lies above the limit before its margin.
 REJECTED = 0.005
 #: Words kept with their scores in a task.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Share of an unseen character.
 FLOOR = 1e-5
 NO_LETTER = "und"
@@ -69,21 +69,22 @@ def contexts(words: list[str]) -> list[np.ndarray]:
 
 @dataclass
 class Table:
-    """Values by sorted hash."""
+    """Rows of values by sorted hash; the row after the last is zero and stands for what isn't there."""
 
     keys: np.ndarray
-    values: np.ndarray
+    values: list[np.ndarray]
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], 0.0)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        n = len(self.keys)
+        if not n:
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), n - 1)
+        return np.where(self.keys[at] == keys, at, n)
 
 
-def summed(keys: np.ndarray, values: np.ndarray) -> Table:
+def summed(keys: np.ndarray, *values: np.ndarray) -> Table:
     found, at = np.unique(keys, return_inverse=True)
-    return Table(found, np.bincount(at, weights=values, minlength=len(found)))
+    return Table(found, [np.append(np.bincount(at, weights=v, minlength=len(found)), 0.0) for v in values])
 
 
 class Model:
@@ -93,7 +94,7 @@ class Model:
         listed = [w for w in words]
         weight = np.repeat(np.fromiter((words[w] for w in listed), dtype=np.float64, count=len(listed)), [len(w) + 1 for w in listed])
         gram, context = grams(listed), contexts(listed)
-        self.levels: list[tuple[Table, Table, Table, float]] = []
+        self.levels: list[tuple[Table, Table, float]] = []
         for n in range(ORDER):
             if n == ORDER - 1:
                 keys, at = np.unique(gram[n], return_index=True)
@@ -103,17 +104,19 @@ class Model:
                 counts = summed(gram[n][once], np.ones(len(once)))
                 keys, at = np.unique(gram[n], return_index=True)
             above = context[n][at]
-            ones, twos = (counts.values == 1).sum(), (counts.values == 2).sum()
+            n_of = counts.values[0][:-1]
+            ones, twos = (n_of == 1).sum(), (n_of == 2).sum()
             discount = float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones else 0.5
-            self.levels.append((counts, summed(above, counts.values), summed(above, np.minimum(counts.values, discount)), discount))
+            self.levels.append((counts, summed(above, n_of, np.minimum(n_of, discount)), discount))
 
     def log_probabilities(self, gram: list[np.ndarray], context: list[np.ndarray]) -> np.ndarray:
         p = np.full(len(gram[0]), FLOOR)
-        for n, (counts, totals, taken, discount) in enumerate(self.levels):
-            total = totals.get(context[n])
+        for n, (counts, above, discount) in enumerate(self.levels):
+            at = above.find(context[n])
+            total, taken = above.values[0][at], above.values[1][at]
             known = total > 0
-            share = np.maximum(counts.get(gram[n]) - discount, 0.0)
-            p = np.where(known, (share + taken.get(context[n]) * p) / np.where(known, total, 1.0), p)
+            share = np.maximum(counts.values[0][counts.find(gram[n])] - discount, 0.0)
+            p = np.where(known, (share + taken * p) / np.where(known, total, 1.0), p)
         return np.log(np.maximum(p, 1e-12))
 
 
@@ -143,7 +146,7 @@ class Scorer:
         self.words(list(set().union(*counted)))
         out: list[tuple[np.ndarray, int] | None] = []
         for c in counted:
-            if not c:
+            if not any(x.isalpha() for w in c for x in w):  # runs of letters can be numerals alone
                 out.append(None)
                 continue
             n = np.fromiter(c.values(), dtype=np.float64, count=len(c))
