@@ -176,21 +176,21 @@ def shingle_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, own): how many keys of a node's bag no other of the nodes has."""
+    """(node, own): how many keys of a node's bag no other of the nodes has. It says nothing about overlaps with any further node."""
     keys = texts.join(nodes, "node", "left_semi").select("node", "words").mapInArrow(shingle_keys, "node binary, key long")
     alone = keys.groupBy("key").agg(F.count("*").alias("c"), F.first("node").alias("node")).where("c = 1")
     return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
 def could_link(n: str, own: str, n2: str, own2: str) -> Column:
-    """Exact bounds on the similarity of two bags from their sizes and own keys: the overlap o is at most the rest of either, and the union at least o and all own keys."""
+    """Exact bounds on the similarity of two bags from their sizes and own keys: the overlap o is at most the rest of either, and the union at least o and all own keys. Own keys bound a pair only if both were counted, else one is null."""
     near = F.least(n, n2) >= SIMILARITY * F.greatest(n, n2) - 1e-9
     rest = F.least(F.col(n) - F.col(own), F.col(n2) - F.col(own2))
-    return near & ((F.col(own) + F.col(own2)) * SIMILARITY <= rest * (1 - SIMILARITY) + 1e-9)
+    return near & F.coalesce((F.col(own) + F.col(own2)) * SIMILARITY <= rest * (1 - SIMILARITY) + 1e-9, F.lit(True))
 
 
 def classes_of(members: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(node, class) of the nodes of buckets that are linked with another; members: (bucket, node, n, own, weight), weight saying how crowded a node's buckets are. None: no link."""
+    """(node, class) of the nodes of buckets that are linked with another; members: (bucket, node, n, own, weight), weight saying how crowded a node's buckets are; own is null where it was not counted. None: no link."""
     live = members  # rows that were not a leader yet
     classes: DataFrame | None = None
     turn = 0
@@ -238,9 +238,10 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = materialize(rows.mapInArrow(packed_words, "node binary, words binary").join(weights.select("node"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "texts")
     crowd = weights.where(F.col("most") > CROWD).select("node")
     own = own_shingles(crowd, texts)
-    known = weights.join(own, "node", "left").select("node", "weight", F.coalesce("own", F.lit(0)).alias("own"))
-    # A node with more keys of its own than a fifth is like no other.
-    alive = members.join(known, "node").where(F.col("own") <= (1 - SIMILARITY) * F.col("n") + 1e-9).select("bucket", "node", "n", "own", "weight")
+    known = weights.join(own, "node", "left").select("node", "weight", F.when(F.col("most") > CROWD, F.coalesce("own", F.lit(0))).alias("own"))
+    # In a crowded bucket all nodes were counted: one with more keys of its own than a fifth is like no other there. Its smaller buckets may hold nodes that were not counted.
+    like_none = (F.col("size") > CROWD) & (F.col("own") > (1 - SIMILARITY) * F.col("n") + 1e-9)
+    alive = members.join(known, "node").where(~F.coalesce(like_none, F.lit(False))).select("bucket", "node", "n", "own", "weight")
     classes = classes_of(materialize(alive, "alive"), texts)
     firsts = nodes.select("node", "first_doc")
     if classes is None:

@@ -65,6 +65,23 @@ def test_classes_are_brute_force(spark, docs, sf):
     assert got == brute(rows)
 
 
+def test_own_shingles_bound_only_crowded_nodes(spark, docs, monkeypatch):
+    """A common passage followed by text of its own, and a near copy of that in no crowded bucket."""
+    monkeypatch.setattr(near_dedup, "CROWD", 3)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for family in range(12):
+        passage = [word() for _ in range(60)]
+        both = passage + [word() for _ in range(18)]
+        texts = [passage[:-1] + [word()] for _ in range(5)] + [both, both[14:]]
+        rows += [(family * 10 + i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute(rows)
+    assert sum(c % 10 == 5 and d % 10 == 6 for d, c in want) == 12
+    got = sorted((tuple(x) for x in near_dedup.near_classes(docs(rows)).collect()), key=str)
+    assert got == want
+
+
 def test_one_of_a_class_stays(spark, docs):
     rows = fixture()
     kept = near_dedup.keep_one(docs(rows))
