@@ -23,11 +23,20 @@ def observations(spark, sf):
     return table(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("line"), F.col("l_orderkey").alias("cam"), F.col("l_partkey").alias("landmark"))
 
 
-def supply(spark, sf):
-    """A graph of nations (v) and trade links (a, b): from a customer's nation to the next by key."""
+def trade(spark, sf, orders):
+    """Customers (v) and their links (a, b): from an order's customer to the next by key."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("v"))
-    o = table(spark, sf, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 17 + F.col("o_orderkey")) % c.count()).alias("b"))
-    return c, o
+    return c, orders.select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 17 + F.col("o_orderkey")) % c.count()).alias("b"))
+
+
+def supply(spark, sf):
+    """The links of every eleventh order key, as in _LINKS."""
+    return trade(spark, sf, table(spark, sf, "orders").where("o_orderkey % 11 = 0"))
+
+
+def all_supply(spark, sf):
+    """The links of all orders."""
+    return trade(spark, sf, table(spark, sf, "orders"))
 
 
 _CUST = "(SELECT c_custkey AS v FROM customer)"
@@ -93,12 +102,12 @@ def maximum_spanning_tree(spark, sf):
 
 @query(None)
 def independent_set(spark, sf):
-    return graph.maximal_independent_set(*supply(spark, sf))
+    return graph.maximal_independent_set(*all_supply(spark, sf))
 
 
 @query(None)
 def schur_ordering(spark, sf):
-    v, e = supply(spark, sf)
+    v, e = all_supply(spark, sf)
     return graph.schur_ordering(v, graph.maximal_independent_set(v, e))
 
 

@@ -37,6 +37,24 @@ def test_query_is_its_sql(spark, sf, duck, name):
     assert got == want
 
 
+def test_independent_set_covers_all_orders(spark, sf, duck):
+    """Against the set chosen one by one in order of (degree, id) over the links of all orders."""
+    vertices = [v for (v,) in duck.execute("SELECT c_custkey FROM customer").fetchall()]
+    near = {v: set() for v in vertices}
+    for a, b in duck.execute("SELECT o_custkey, (o_custkey * 17 + o_orderkey) % (SELECT count(*) FROM customer) FROM orders").fetchall():
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    chosen = set()
+    for v in sorted(vertices, key=lambda v: (len(near[v]), v)):
+        if not near[v] & chosen:
+            chosen.add(v)
+    got = [r.v for r in QUERIES["independent_set"](spark, sf).collect()]
+    assert sorted(got) == sorted(chosen)
+    order = [r.v for r in QUERIES["schur_ordering"](spark, sf).orderBy("place").collect()]
+    assert order == sorted(set(vertices) - chosen) + sorted(chosen)
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
