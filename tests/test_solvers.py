@@ -137,6 +137,19 @@ def test_newton_is_numpy_and_damped_steps_fall(spark):
     assert np.all(np.linalg.eigvalsh(cov) > 0)
 
 
+def test_damped_steps_beyond_the_dense_limit(spark, monkeypatch):
+    """With states and systems as tables the steps are those of the dense path; a constant vertex stays."""
+    g = optimize.PoseGraph(ring(spark, 4))
+    fixed = optimize.PoseGraph(g.edges, constant=[2])
+    want = [optimize.levenberg_marquardt(x, 2, 1e-9) for x in (g, fixed)]
+    monkeypatch.setattr(optimize, "DENSE_LIMIT", 9)
+    for x, s in zip((g, fixed), want):
+        got = optimize.levenberg_marquardt(x, 2, 1e-9)
+        assert got.iterations == s.iterations and np.allclose(got.history, s.history, rtol=1e-6)
+        states = [[tuple(r) for r in y.states.orderBy("v").collect()] for y in (got, s)]
+        assert np.allclose(*states, atol=1e-6)
+
+
 def test_spatial_algebra():
     a, b, c = (RNG.uniform(-1, 1, (50, 6)) for _ in range(3))
     close = lambda p, q: np.allclose(p[:, :3], q[:, :3], atol=1e-9) and np.allclose(sp.axis_angle_to_matrix(p[:, 3:]), sp.axis_angle_to_matrix(q[:, 3:]), atol=1e-9)
