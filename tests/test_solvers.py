@@ -150,6 +150,20 @@ def test_damped_steps_beyond_the_dense_limit(spark, monkeypatch):
         assert np.allclose(*states, atol=1e-6)
 
 
+def test_gradients_go_on_until_the_tolerance(spark, monkeypatch):
+    n = 20
+    a = 2 * np.eye(n) - np.eye(n, k=1) - np.eye(n, k=-1)
+    m, b = linear.as_matrix(spark, a), linear.as_vector(spark, np.eye(n)[0])
+    with pytest.warns(UserWarning, match="in 5 steps"):
+        linear.conjugate_gradient(m, b, steps=5)
+    assert np.allclose(linear.dense_vector(linear.conjugate_gradient(m, b), n), np.linalg.solve(a, np.eye(n)[0]), atol=1e-8)
+    asked = []
+    solve = optimize.conjugate_gradient
+    monkeypatch.setattr(optimize, "conjugate_gradient", lambda *x, **k: asked.append(k) or solve(*x, **k))
+    optimize.gauss_newton(optimize.PoseGraph(ring(spark, 3)), 1, 1e-9, solver="cg")
+    assert asked and not any("steps" in k or "tolerance" in k for k in asked)
+
+
 def test_spatial_algebra():
     a, b, c = (RNG.uniform(-1, 1, (50, 6)) for _ in range(3))
     close = lambda p, q: np.allclose(p[:, :3], q[:, :3], atol=1e-9) and np.allclose(sp.axis_angle_to_matrix(p[:, 3:]), sp.axis_angle_to_matrix(q[:, 3:]), atol=1e-9)
