@@ -1,7 +1,7 @@
 """Quality rules and a log-likelihood ratio of hashed n-grams: trusted target against the raw corpus.
 
 Words and pairs of words are hashed into buckets. The raw multinomial counts every document; the target counts
-a bounded sample of rows labelled as good. A document's score is the mean over its n-grams, and a few of ratio 0,
+every row labelled as good. A document's score is the mean over its n-grams, and a few of ratio 0,
 of log p(target) - log p(raw); the threshold is a low quantile of the trusted rows' own scores, so every document gets the
 same verdict whenever it is asked for.
 """
@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, crc32_of_id, table, texts_in_pieces
+from .common import batch, materialize, table, texts_in_pieces
 
 #: Buckets of the hashed n-grams; the counts that reach the driver have as many rows.
 BUCKETS = 1 << 16
-#: Trusted rows that the target is estimated from at most: those with the smallest crc32 of their id.
-TRUSTED = 20_000
 #: Added to every count, in buckets' shares of a sample of as many n-grams.
 SMOOTHING = 1.0
 #: The share of trusted rows that may lie below the threshold, and how far below that quantile it is put.
@@ -121,10 +119,10 @@ def count_ngrams(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> list[int]:
-    """Ids whose labels all say quality 1. Null ids and null labels don't count."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id) whose labels all say quality 1. Null ids and null labels don't count."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1")
-    return [r.doc_id for r in good.select("doc_id", crc32_of_id().alias("at")).orderBy("at", "doc_id").limit(most).collect()]
+    return good.select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -140,12 +138,22 @@ def score(hashes: np.ndarray, weights: np.ndarray) -> float:
     return float(weights[buckets_of(hashes)].sum()) / (2 * len(hashes) - 1 + PRIOR) if len(hashes) else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> tuple[np.ndarray, float]:
-    """The buckets' weights and the threshold. The counts follow the whole corpus; the trusted sample is bounded by `trusted`, and so are its scores."""
+def low_quantile(scores: DataFrame, share: float) -> float | None:
+    """numpy's quantile of (score), or None without rows; only the scores up to it come to the driver."""
+    n = scores.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    low = [r.score for r in scores.orderBy("score").limit(int(at) + 2).toLocalIterator()]
+    return float(np.quantile([low[int(at)], low[min(int(at) + 1, n - 1)]], at - int(at)))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """The buckets' weights and the threshold. Raw counts follow the whole corpus; target counts and threshold all trusted rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = spark.createDataFrame([(i,) for i in trusted_ids(labels, trusted)], "doc_id long")
-    sample = rows.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `trusted` ids
+    ids = trusted_ids(labels)
+    sample = materialize(rows.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").select("text"), "trusted")
     weights = ratios(count_ngrams(sample), count_ngrams(rows))
     shared = spark.sparkContext.broadcast(weights)
 
@@ -155,8 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> tuple[np.
             found = [score(words.hashed(w), shared.value) for t in b.column("text").to_pylist() if len(w := words_of(t)) >= MIN_WORDS]
             yield batch(pa.schema([("score", pa.float64())]), score=found)
 
-    scores = np.array([r.score for r in sample.select("text").mapInArrow(run, "score double").toLocalIterator()])
-    return weights, float(np.quantile(scores, QUANTILE)) - MARGIN if len(scores) else -np.inf
+    bound = low_quantile(materialize(sample.mapInArrow(run, "score double"), "scores"), QUANTILE)
+    return weights, -np.inf if bound is None else bound - MARGIN
 
 
 VERDICTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("score", pa.float64())])

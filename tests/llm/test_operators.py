@@ -148,6 +148,21 @@ def test_rules_are_brute_force(spark, docs, sf):
     assert quality_rules.assess(docs([]), labels).count() == 0
 
 
+def test_target_counts_all_trusted_rows(spark):
+    """20,001 trusted rows, each with a word of its own: target, weights and threshold are those of all."""
+    n = 20_001
+    rows = [(i, f"w{i} " + "plain words that all good texts of this table have here") for i in range(n)] + [(n + i, "bad junk " * 6) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality")
+    weights, threshold = quality_rules.fit(docs, labels)
+    words, count = quality_rules.Words(), lambda ts: np.bincount(np.concatenate([quality_rules.buckets_of(words.hashed(quality_rules.words_of(t))) for t in ts]), minlength=quality_rules.BUCKETS)
+    texts = [t for _, t in rows]
+    want = quality_rules.ratios(count(texts[:n]), count(texts))
+    assert np.array_equal(weights, want)
+    scores = [quality_rules.score(words.hashed(quality_rules.words_of(t)), want) for t in texts[:n]]
+    assert np.isclose(threshold, np.quantile(scores, quality_rules.QUANTILE) - quality_rules.MARGIN, rtol=0, atol=1e-12)
+
+
 def test_languages_are_found(spark):
     sf = "/root/testdata/sf0.01"
     t = common.table(spark, sf, "documents")
