@@ -57,15 +57,21 @@ def permute_numbers(x: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def walk_length(n: int, seed: int) -> int:
-    """The most further passes that any number below n needs until it is below n again: exact, by walking all cells beyond n."""
+    """The most further passes that any number below n needs until it is below n again: exact, by walking all cells beyond n.
+
+    A cycle that lies wholly beyond n is never entered from below; its cells stop where they began and count for nothing.
+    """
     a, b = sides(n)
-    beyond = np.arange(n, a * b, dtype=np.int64)
-    steps = 0
-    while len(beyond):
+    start = now = np.arange(n, a * b, dtype=np.int64)
+    steps = most = 0
+    while len(now):
         steps += 1
-        beyond = permute_numbers(beyond, n, seed)
-        beyond = beyond[beyond >= n]
-    return steps
+        now = permute_numbers(now, n, seed)
+        if (now < n).any():
+            most = steps
+        walking = (now >= n) & (now != start)
+        start, now = start[walking], now[walking]
+    return most
 
 
 def whole(x: Column, by: int) -> Column:

@@ -70,6 +70,15 @@ def test_permutation_is_a_bijection(n, seed):
     assert sorted(x.tolist()) == list(range(n))
 
 
+def test_permutation_of_every_small_count():
+    """With the shipped seed some counts have cycles that lie wholly beyond them."""
+    for n in range(1, 3001):
+        x = sharding.permute_numbers(np.arange(n), n, sharding.SEED)
+        for _ in range(sharding.walk_length(n, sharding.SEED)):
+            x = np.where(x < n, x, sharding.permute_numbers(x, n, sharding.SEED))
+        assert (np.sort(x) == np.arange(n)).all()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=120), st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=6), min_size=1, max_size=8))
 def test_fm_index_finds_all(text, patterns):
