@@ -23,24 +23,14 @@ def observations(spark, sf):
     return table(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("line"), F.col("l_orderkey").alias("cam"), F.col("l_partkey").alias("landmark"))
 
 
-def trade(spark, sf, orders):
-    """Customers (v) and their links (a, b): from an order's customer to the next by key."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("v"))
-    return c, orders.select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 17 + F.col("o_orderkey")) % c.count()).alias("b"))
-
-
 def supply(spark, sf):
-    """The links of every eleventh order key, as in _LINKS."""
-    return trade(spark, sf, table(spark, sf, "orders").where("o_orderkey % 11 = 0"))
-
-
-def all_supply(spark, sf):
-    """The links of all orders."""
-    return trade(spark, sf, table(spark, sf, "orders"))
+    """Customers (v) and their links (a, b): from each order's customer to the next by key."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("v"))
+    return c, table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 17 + F.col("o_orderkey")) % c.count()).alias("b"))
 
 
 _CUST = "(SELECT c_custkey AS v FROM customer)"
-_LINKS = "(SELECT o_custkey AS a, (o_custkey * 17 + o_orderkey) % (SELECT count(*) FROM customer) AS b FROM orders WHERE o_orderkey % 11 = 0)"
+_LINKS = "(SELECT o_custkey AS a, (o_custkey * 17 + o_orderkey) % (SELECT count(*) FROM customer) AS b FROM orders)"
 _BOTH = f"(SELECT DISTINCT a, b FROM (SELECT a, b FROM {_LINKS} WHERE a <> b UNION ALL SELECT b, a FROM {_LINKS} WHERE a <> b))"
 
 
@@ -74,7 +64,7 @@ def connectivity(spark, sf):
     return graph.is_connected(*supply(spark, sf))
 
 
-@query(f"WITH RECURSIVE r(v, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT b.b, r.depth + 1 FROM r JOIN {_BOTH} b ON r.v = b.a WHERE depth < 60), d AS (SELECT v, min(depth) AS depth FROM r GROUP BY v) SELECT d.v, d.depth, min(CASE WHEN e.depth = d.depth - 1 THEN e.v END) AS parent FROM d LEFT JOIN {_BOTH} b ON d.v = b.a LEFT JOIN d e ON b.b = e.v GROUP BY d.v, d.depth")
+@query(f"WITH RECURSIVE d(v, depth) USING KEY (v) AS (SELECT 0::BIGINT, 0 UNION SELECT b.b, min(d.depth) + 1 FROM d JOIN {_BOTH} b ON d.v = b.a WHERE b.b NOT IN (SELECT v FROM recurring.d) GROUP BY b.b) SELECT d.v, d.depth, min(CASE WHEN e.depth = d.depth - 1 THEN e.v END) AS parent FROM d LEFT JOIN {_BOTH} b ON d.v = b.a LEFT JOIN d e ON b.b = e.v GROUP BY d.v, d.depth")
 def breadth_first(spark, sf):
     return graph.breadth_first(supply(spark, sf)[1], 0)
 
@@ -102,12 +92,12 @@ def maximum_spanning_tree(spark, sf):
 
 @query(None)
 def independent_set(spark, sf):
-    return graph.maximal_independent_set(*all_supply(spark, sf))
+    return graph.maximal_independent_set(*supply(spark, sf))
 
 
 @query(None)
 def schur_ordering(spark, sf):
-    v, e = all_supply(spark, sf)
+    v, e = supply(spark, sf)
     return graph.schur_ordering(v, graph.maximal_independent_set(v, e))
 
 
