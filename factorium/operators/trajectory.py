@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.angles import pose2, relative, wrap_error
+
 AXES = ("x", "y", "z")
 
 
@@ -61,18 +63,37 @@ def absolute_error(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.sqrt(F.avg(squared(pairs))).alias("rmse"))
 
 
-def relative_error(pairs: DataFrame, lag: int = 1, group: list[str] = []) -> DataFrame:  # noqa: B006
-    """One row a group: n and the root mean square of the difference of the motions over `lag` steps."""
-    w = Window.partitionBy(*group).orderBy("idx") if group else Window.orderBy("idx")
-    step = {f"{s}{k}": F.col(f"{s}{k}") - F.lag(f"{s}{k}", lag).over(w) for s in "ab" for k in AXES}
-    moved = pairs.select(*group, "idx", *[c.alias(n) for n, c in step.items()]).where("ax IS NOT NULL")
-    keyed = moved.groupBy(*group) if group else moved.groupBy()
-    return keyed.agg(F.count("*").alias("n"), F.sqrt(F.avg(squared(moved))).alias("rmse"))
+def relative_error(pairs: DataFrame, lag: int = 1) -> DataFrame:
+    """One row over two trajectories of planar poses (idx, a_x, a_y, a_t, b_x, b_y, b_t), idx counting them without gaps:
+    n, and the sums, means of squares' roots of what the motion over `lag` steps differs by, in position and in degrees.
+
+    The motion of a pose is the earlier pose as it is seen from it, in each trajectory; the error is the one motion as
+    seen from the other. Poses are matched by a join on idx, so no task sees a whole trajectory.
+    """
+    was = pairs.select((F.col("idx") + lag).alias("idx"), *[F.col(f"{s}_{k}").alias(f"was_{s}_{k}") for s in "ab" for k in "xyt"])
+    both = pairs.join(was, "idx")
+    motion = {s: relative(pose2(s), pose2(f"was_{s}")) for s in "ab"}
+    e = relative(motion["a"], motion["b"])
+    off = both.select(F.sqrt(e.x * e.x + e.y * e.y).alias("far"), F.degrees(F.abs(wrap_error(e.t))).alias("turned"))
+    return off.agg(F.count("*").alias("n"), F.sum("far").alias("translation"), F.sum("turned").alias("rotation"), F.sqrt(F.avg(F.col("far") * F.col("far"))).alias("rmse_translation"), F.sqrt(F.avg(F.col("turned") * F.col("turned"))).alias("rmse_rotation"))
 
 
 def relative_error_all(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """One row a group over all pairs of poses i > j; the sum is divided by the number of poses, not of pairs. The squares expand, so only sums by group are needed: no pair is formed."""
-    d = {k: F.col(f"a{k}") - F.col(f"b{k}") for k in AXES}
-    n = F.count("*")
-    total = sum((n * F.sum(c * c) - F.sum(c) * F.sum(c) for c in d.values()), F.lit(0.0))
-    return pairs.groupBy(*group).agg(n.alias("n"), F.sqrt(F.greatest(total, F.lit(0.0)) / n).alias("rmse"))
+    """One row a group: n and the squared position errors of relative_error over every lag, summed and divided by the number of poses.
+
+    The error of poses i and j < i is |R_b,i' (b_j - b_i) - R_a,i' (a_j - a_i)|^2. Over all j before i that expands into
+    running sums, so no pair is formed. A trajectory is a group; the group column deals them out. Turns don't expand: take them lag by lag.
+    """
+    before = Window.partitionBy(*group).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    a, b = pose2("a"), pose2("b")
+    n = F.count("*").over(before)
+
+    def products(u: Column, v: Column) -> Column:
+        """The sum over j < i of (u_j - u_i)(v_j - v_i)."""
+        return total(u * v) - u * total(v) - v * total(u) + n * u * v
+
+    cos, sin = F.cos(b.t - a.t), F.sin(b.t - a.t)
+    turned = cos * (products(b.x, a.x) + products(b.y, a.y)) + sin * (products(b.y, a.x) - products(b.x, a.y))
+    squares = products(a.x, a.x) + products(a.y, a.y) + products(b.x, b.x) + products(b.y, b.y) - 2 * turned
+    return pairs.select(*group, squares.alias("s")).groupBy(*group).agg(F.count("*").alias("n"), (F.greatest(F.sum("s"), F.lit(0.0)) / F.count("*")).alias("squared_translation"))

@@ -130,15 +130,30 @@ def absolute_trajectory_error(spark, sf):
     return trajectory.absolute_error(pairs(spark, sf)).withColumn("rmse", clean(F.col("rmse")))
 
 
-@query(f"""SELECT count(*) AS n, {clean_sql(f'sqrt(avg({_SQ}))')} AS rmse FROM (SELECT {', '.join(f'{c} - lag({c}, 2) OVER (ORDER BY idx) AS {c}' for c in ('ax', 'ay', 'az', 'bx', '"by"', 'bz'))} FROM {_PAIRS}) WHERE ax IS NOT NULL""")
+def planar_pairs(spark, sf):
+    """Planar poses: dimensions 1-3 of the embeddings against 4-6, by vector."""
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), *[e[3 * i + j].cast("double").alias(f"{s}_{k}") for i, s in enumerate("ab") for j, k in enumerate("xyt")])
+
+
+_PLANAR = "(SELECT vec_id AS idx, " + ", ".join(f"embedding[{3 * i + j + 1}]::DOUBLE AS {s}_{k}" for i, s in enumerate("ab") for j, k in enumerate("xyt")) + " FROM embeddings)"
+#: The earlier pose q as it is seen from p, for each trajectory; then the one motion as seen from the other.
+_MOTION = ", ".join(f"cos(p.{s}_t) * (q.{s}_x - p.{s}_x) + sin(p.{s}_t) * (q.{s}_y - p.{s}_y) AS {s}_dx, cos(p.{s}_t) * (q.{s}_y - p.{s}_y) - sin(p.{s}_t) * (q.{s}_x - p.{s}_x) AS {s}_dy, q.{s}_t - p.{s}_t AS {s}_dt" for s in "ab")
+_OFF = f"SELECT *, cos(a_dt) * (b_dx - a_dx) + sin(a_dt) * (b_dy - a_dy) AS ex, cos(a_dt) * (b_dy - a_dy) - sin(a_dt) * (b_dx - a_dx) AS ey, degrees(abs({wrap_sql('((b_dt - a_dt) % 6.283185307179586)')})) AS turned"
+
+
+@query(f"""WITH p AS {_PLANAR}, o AS ({_OFF} FROM (SELECT {_MOTION} FROM p JOIN p q ON q.idx = p.idx - 2)), f AS (SELECT sqrt(ex * ex + ey * ey) AS far, turned FROM o)
+SELECT count(*) AS n, {clean_sql('sum(far)', 4)} AS translation, {clean_sql('sum(turned)', 4)} AS rotation, {clean_sql('sqrt(avg(far * far))')} AS rmse_translation, {clean_sql('sqrt(avg(turned * turned))')} AS rmse_rotation FROM f""")
 def relative_pose_error(spark, sf):
-    return trajectory.relative_error(pairs(spark, sf), 2).withColumn("rmse", clean(F.col("rmse")))
+    r = trajectory.relative_error(planar_pairs(spark, sf), 2)
+    return r.select("n", clean(F.col("translation"), 4).alias("translation"), clean(F.col("rotation"), 4).alias("rotation"), *[clean(F.col(c)).alias(c) for c in ("rmse_translation", "rmse_rotation")])
 
 
-@query(f"""WITH p AS (SELECT idx % 7 AS g, idx, ax - bx AS x, ay - "by" AS y, az - bz AS z FROM {_PAIRS}), s AS (SELECT a.g, sum((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS s FROM p a JOIN p b ON a.g = b.g AND a.idx > b.idx GROUP BY a.g)
-SELECT p.g, count(*) AS n, {clean_sql('sqrt(any_value(s) / count(*))')} AS rmse FROM p JOIN s ON p.g = s.g GROUP BY p.g""")
+@query(f"""WITH p AS (SELECT idx % 7 AS g, * FROM {_PLANAR}), o AS ({_OFF} FROM (SELECT p.g, {_MOTION} FROM p JOIN p q ON p.g = q.g AND q.idx < p.idx)), s AS (SELECT g, sum(ex * ex + ey * ey) AS s FROM o GROUP BY g)
+SELECT p.g, count(*) AS n, {clean_sql('any_value(s) / count(*)', 4)} AS squared_translation FROM p JOIN s ON p.g = s.g GROUP BY p.g""")
 def relative_pose_error_all(spark, sf):
-    return trajectory.relative_error_all(pairs(spark, sf).withColumn("g", F.col("idx") % 7), ["g"]).withColumn("rmse", clean(F.col("rmse")))
+    r = trajectory.relative_error_all(planar_pairs(spark, sf).withColumn("g", F.col("idx") % 7), ["g"])
+    return r.withColumn("squared_translation", clean(F.col("squared_translation"), 4))
 
 
 _MOM = {"ma": "avg(ax)", "mb": "avg(bx)", "cxx": "sum(ax * bx) - sum(ax) * sum(bx) / count(*)", "cyz": "sum(ay * bz) - sum(ay) * sum(bz) / count(*)", "spread": "sum(ax * ax + ay * ay + az * az) - (sum(ax) * sum(ax) + sum(ay) * sum(ay) + sum(az) * sum(az)) / count(*)"}
