@@ -63,8 +63,16 @@ def register(name: str, token: Token) -> None:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value); line grows in the order of the files and within them, with gaps."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    """(line, value); lines are numbered from 0 without gaps, in the order of the files' names and within them.
+
+    Each part of a file is read by one task: the line's place in its part, and the lines of all parts before. The
+    offsets are a row a part.
+    """
+    at = ["file", "start"]
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    parts = rows.groupBy(*at).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    offsets = parts.select(*at, (F.sum("n").over(Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") - F.col("first")).alias("offset"))
+    return rows.join(offsets, at).select((F.col("at") + F.col("offset")).alias("line"), "value")
 
 
 def _known(of) -> Column:
