@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a filter of keys: 8 MB, however many keys. Beyond some 10^8 of them it lets ever more others through.
+MARKS = 1 << 26
 #: A missing id counts as one id larger than every other.
 NULL_ID = 2**63 - 1
 
@@ -65,6 +67,26 @@ def crc32_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8"))
 
 
+def mark(*columns: str) -> Column:
+    """The bit that stands for the columns' values in a filter of keys."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit(MARKS - 1))
+
+
+def marks(df: DataFrame, *columns: str) -> np.ndarray:
+    """A filter of keys: its bits are set for all values that df has, and for few others. It saves moving rows that match none; an exact join must follow."""
+    at = df.select(mark(*columns).alias("at")).select(F.shiftright("at", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("bit"))
+    found = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, dtype=np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def marked(b: pa.RecordBatch, column: str, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch whose bit, in the column, is set."""
+    at = b.column(column).to_numpy(zero_copy_only=False)
+    return b.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n, c in ((n, columns[n]) for n in schema.names)], schema=schema)
 

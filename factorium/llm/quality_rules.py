@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, materialize, table, texts_in_pieces
+from .common import batch, mark, marked, marks, materialize, table, texts_in_pieces
 
 #: Buckets of the hashed n-grams; the counts that reach the driver have as many rows.
 BUCKETS = 1 << 16
@@ -125,6 +125,18 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
+def trusted_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text) of the rows (doc_id, text) whose id is in ids. Only texts that pass a filter of the ids are moved; the join is the same at every size."""
+    bits = rows.sparkSession.sparkContext.broadcast(marks(ids, "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield marked(b, "at", bits.value).select(["doc_id", "text"])
+
+    likely = rows.where("doc_id IS NOT NULL").select("doc_id", "text", mark("doc_id").alias("at")).mapInArrow(run, "doc_id long, text string")
+    return likely.join(ids.hint("merge"), "doc_id", "left_semi").select("text")
+
+
 def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """log p(target) - log p(raw) by bucket. Without trusted rows there is nothing to tell apart: all 0."""
     if not target.sum() or not raw.sum():
@@ -152,8 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The buckets' weights and the threshold. Raw counts follow the whole corpus; target counts and threshold all trusted rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = trusted_ids(labels)
-    sample = materialize(rows.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").select("text"), "trusted")
+    sample = materialize(trusted_rows(rows, trusted_ids(labels)), "trusted")
     weights = ratios(count_ngrams(sample), count_ngrams(rows))
     shared = spark.sparkContext.broadcast(weights)
 
