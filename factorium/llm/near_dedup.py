@@ -1,10 +1,13 @@
 """Near-duplicate classes by BagMinHash bands and verified multiset overlap.
 
 Texts whose words are equal are one node. Nodes whose signatures agree in a band share a bucket. Buckets are
-never expanded into pairs: in each round some leaders of a bucket are compared with the members of other
-classes, verified links merge classes, and a leader is done. A bucket is finished when those not done are all of one
-class; so every pair of a bucket is compared or connected already, and a bucket of copies needs one round. Hot
-buckets, leaders and groups of copies are only ever summed or joined, and a leader's members are dealt in parts.
+never expanded into pairs. First every member is compared with one leader of its bucket, the most crowded node;
+verified links merge classes, and what that comparison measured bounds the members' overlaps with each other: keys
+that no other open node has can't be shared, nor can more of the leader's keys than either has. A bucket's members
+are summed in cells of like figures, and a member that no cell of another class could hold a partner for is settled
+there. What is left is compared with some more leaders in each round, until no bucket is open. All bounds are exact and
+the same at every size. Hot buckets, leaders and groups of copies are only ever summed or joined, and a leader's
+members are dealt in parts.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bag_minhash import GOLD, band_keys, mix, signatures
-from .common import NULL_ID, batch, fresh, id_key, materialize, table, texts_in_pieces
+from .common import NULL_ID, batch, fresh, id_key, mark, marked, marks, materialize, table, texts_in_pieces
 from .decontaminate import words_of
 
 SHINGLE = 5
@@ -29,11 +32,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 #: Members of a leader in a part.
 PART = 500
-#: Leaders of a bucket by round, and whether they come from its largest class (to gather what belongs there) or from
-#: outside it (to settle what is left); the last goes on with four times as many from round to round.
-PLAN = ((1, True), (4, True), (8, True), (32, False))
-#: Members of a bucket beyond which its nodes' shingles are looked up in each other.
-CROWD = 200
+#: Leaders of a bucket in the second round; each further round has so many times more.
+LEADERS = 8
+#: Steps a doubling of size, and of a share of it, of the cells that sum a bucket's members.
+STEPS, SHARES = 32, 64
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -106,14 +108,14 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(SIGNED, doc=docs, node=nodes, n=sizes, bands=bands)
 
 
-LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+OVERLAPS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("m", pa.int64()), ("both", pa.int64())])
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by leader and part, the leader's own text first; gives the members whose bag is similar enough."""
+def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by leader and part, the leader's own text first; gives the sizes of both bags and of their overlap for each member."""
     leader, keys = None, np.empty(0, dtype=np.uint64)
     for b in texts_in_pieces(batches, "words", 2_000_000):
-        found: list[tuple[bytes, bytes]] = []
+        found: list[tuple] = []
         for a, member, words in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("words").to_pylist()):
             bag = bag_keys(zlib.decompress(words).split(b" "))
             if member is None:
@@ -121,33 +123,41 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if a != leader:
                 raise ValueError("a member came without its leader")
-            n, m = len(keys), len(bag)
-            if min(n, m) < SIMILARITY * max(n, m):
-                continue
-            at = np.searchsorted(keys, bag)
-            both = int((keys[np.minimum(at, n - 1)] == bag).sum())
-            if both >= SIMILARITY * (n + m - both) - 1e-9:
-                found.append((a, member))
-        yield batch(LINKS, a=[x[0] for x in found], b=[x[1] for x in found])
+            at = np.minimum(np.searchsorted(keys, bag), len(keys) - 1)
+            found.append((a, member, len(keys), len(bag), int((keys[at] == bag).sum())))
+        yield batch(OVERLAPS, **{c: [x[i] for x in found] for i, c in enumerate(OVERLAPS.names)})
 
 
 WORDS = pa.schema([("node", pa.binary()), ("words", pa.binary())])
 
 
-def packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in texts_in_pieces(batches, "text"):
-        rows = [(node_of(d, t, w), zlib.compress(b" ".join(w), 1)) for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()) if (w := words_of(t))]
-        yield batch(WORDS, node=[r[0] for r in rows], words=[r[1] for r in rows])
+def texts_of(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(node, words): the packed words of the nodes in firsts (node, first_doc), each from the row of its first_doc. Other rows' texts are hardly ever moved."""
+    bits = rows.sparkSession.sparkContext.broadcast(marks(firsts, "first_doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in texts_in_pieces(iter([marked(whole, "at", bits.value)]), "text"):
+                found = [(node_of(d, t, w), zlib.compress(b" ".join(w), 1)) for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()) if (w := words_of(t))]
+                yield batch(WORDS, node=[r[0] for r in found], words=[r[1] for r in found])
 
+    packed = rows.select("doc", "text", mark("doc").alias("at")).mapInArrow(run, "node binary, words binary")
+    return packed.join(firsts.select("node"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
 
-def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar. A leader with many members is dealt in parts, each with one copy of its text."""
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes n and m of their bags and of the overlap, both. A leader with many members is dealt in parts, each with one copy of its text."""
     crowded = pairs.groupBy("a").count().where(F.col("count") > PART).select("a", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
     dealt = pairs.join(crowded, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
     members = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "words")
     leaders = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "words")
     rows = members.unionByName(leaders).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return rows.select("a", "b", "words").mapInArrow(verify, "a binary, b binary")
+    return materialize(rows.select("a", "b", "words").mapInArrow(overlaps, "a binary, b binary, n long, m long, both long"), "compared")
+
+
+def alike(n: Column, m: Column, most: Column) -> Column:
+    """Whether bags of n and m keys can be similar enough if they share at most so many."""
+    return most * (1 + SIMILARITY) >= (n + m) * SIMILARITY - 1e-9
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,55 +185,87 @@ def shingle_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(KEYS, node=nodes, key=np.concatenate(bags) if bags else [])
 
 
-def own_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, own): how many keys of a node's bag no other of the nodes has. It says nothing about overlaps with any further node."""
+def own_keys(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, own): how many keys of a node's bag no other of the nodes has; nodes without such a key are left out."""
     keys = texts.join(nodes, "node", "left_semi").select("node", "words").mapInArrow(shingle_keys, "node binary, key long")
     alone = keys.groupBy("key").agg(F.count("*").alias("c"), F.first("node").alias("node")).where("c = 1")
     return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
-def could_link(n: str, own: str, n2: str, own2: str) -> Column:
-    """Exact bounds on the similarity of two bags from their sizes and own keys: the overlap o is at most the rest of either, and the union at least o and all own keys. Own keys bound a pair only if both were counted, else one is null."""
-    near = F.least(n, n2) >= SIMILARITY * F.greatest(n, n2) - 1e-9
-    rest = F.least(F.col(n) - F.col(own), F.col(n2) - F.col(own2))
-    return near & F.coalesce((F.col(own) + F.col(own2)) * SIMILARITY <= rest * (1 - SIMILARITY) + 1e-9, F.lit(True))
+def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, class) of all nodes that are linked, after further links (a, b)."""
+    if not links.limit(1).count():
+        return classes
+    by_class = links.select("a", "b")
+    for side in ("a", "b") if classes is not None else ():
+        by_class = by_class.join(classes.select(F.col("node").alias(side), F.col("class").alias("__c")), side, "left").withColumn(side, F.coalesce("__c", side)).drop("__c")
+    labels = components(by_class.where("a <> b"))
+    if classes is None:
+        return labels.withColumnRenamed("label", "class")
+    old = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("label", "class").alias("class"))
+    new = labels.join(classes, "node", "left_anti").select("node", F.col("label").alias("class"))
+    return materialize(old.unionByName(new), "classes")
+
+
+def with_class(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
+    return rows.withColumn("class", F.col("node")) if classes is None else rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
+#: What a member of a bucket carries: its keys and how many of them no other open node has, how many its leader has too
+#: and how many are left; the last two are at most so many where the member was not compared with its leader.
+FIGURES = ("n", "own", "shared", "rest")
+
+
+def could_link(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Whether the figures of two members of a bucket allow a link. They share at most what both have of the leader and of the rest, and nothing of their own."""
+    most = F.least(F.least(x["shared"], y["shared"]) + F.least(x["rest"], y["rest"]), x["n"] - x["own"], y["n"] - y["own"])
+    return alike(x["n"], y["n"], most)
+
+
+def unsettled(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, node, weight, class, *FIGURES) whose node may have a partner of another class in the bucket: some cell's extremes allow one."""
+    n = F.col("n")
+    place = [F.floor(F.log2(n) * STEPS).alias("c0"), *(F.floor(F.col(c) * SHARES / n).alias(f"c{i}") for i, c in enumerate(FIGURES[1:], 1))]
+    extremes = [F.min("n").alias("n"), F.max("n").alias("high"), F.max("shared").alias("shared"), F.max("rest").alias("rest"), F.max(F.col("n") - F.col("own")).alias("free"), F.min("class").alias("least"), F.max("class").alias("most")]
+    # Figures are within a few steps of each other, so a bucket has a bounded number of cells, however many members.
+    cells = rows.groupBy("bucket", *place).agg(*extremes).groupBy("bucket").agg(F.collect_list(F.struct("n", "high", "shared", "rest", "free", "least", "most")).alias("cells"))
+
+    def holds(c: Column) -> Column:
+        sizes = (c["high"] >= n * SIMILARITY - 1e-9) & (c["n"] * SIMILARITY <= n + 1e-9)
+        most = F.least(F.least(F.col("shared"), c["shared"]) + F.least(F.col("rest"), c["rest"]), n - F.col("own"), c["free"])
+        return ((c["least"] != F.col("class")) | (c["most"] != F.col("class"))) & sizes & alike(n, c["n"], most)
+
+    return rows.join(cells, "bucket").where(F.exists("cells", holds)).drop("cells")
 
 
 def classes_of(members: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(node, class) of the nodes of buckets that are linked with another; members: (bucket, node, n, own, weight), weight saying how crowded a node's buckets are; own is null where it was not counted. None: no link."""
-    live = members  # rows that were not a leader yet
-    classes: DataFrame | None = None
-    turn = 0
+    """(node, class) of the nodes of buckets that are linked with another; members: (bucket, node, n, weight), weight saying how crowded a node's buckets are. None: no link."""
+    firsts = members.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("x")).select("bucket", F.col("x.node").alias("leader"), F.col("x.n").alias("size"))
+    led = materialize(members.join(firsts, "bucket"), "led")
+    near = alike(F.col("n"), F.col("size"), F.least("n", "size"))
+    found = compared(materialize(led.where(near & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs"), texts)
+    linked = alike(F.col("n"), F.col("m"), F.col("both"))
+    classes = merged(None, found.where(linked))
+    rest = with_class(led.where("node <> leader"), classes)
+    open_ = rest.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("bucket")
+    rest = materialize(rest.join(open_, "bucket"), "open")
+    own = own_keys(rest.select("node").unionByName(rest.select(F.col("leader").alias("node"))).distinct(), texts)
+    figures = rest.join(found.select(F.col("a").alias("leader"), F.col("b").alias("node"), "both"), ["leader", "node"], "left").join(own, "node", "left")
+    free = F.col("n") - F.coalesce("own", F.lit(0))
+    live = figures.select("bucket", "node", "weight", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("both", F.least(free, "size")).alias("shared"), F.coalesce(free - F.col("both"), free).alias("rest"))
+    leaders = LEADERS
     while True:
-        leaders, gather = PLAN[min(turn, len(PLAN) - 1)]
-        leaders *= 4 ** max(0, turn - len(PLAN) + 1)
-        known = live.withColumn("class", F.col("node")) if classes is None else live.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        known = known.select(*members.columns, "class") if classes is None else materialize(known.select(*members.columns, "class"), "live")
-        sizes = known.groupBy("bucket", "class").count().groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("count", "class")).alias("largest")).where("classes > 1").drop("classes")
-        open_ = materialize(known.join(sizes, "bucket"), "open")
+        open_ = materialize(unsettled(with_class(live, classes)), "open")
         if not open_.limit(1).count():
             return classes
-        # Leaders: of each of so many shares of a bucket the node with the most crowded buckets, from within the largest class or from outside it first.
-        inside = (F.col("class") == F.col("largest")) if gather and turn else F.col("class") != F.col("largest") if turn else F.lit(True)
-        best = F.max_by(F.struct("node", "class", "n", "own"), F.struct(inside.alias("inside"), "weight", "node"))
-        chosen = open_.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("share")).agg(best.alias("x")).select("bucket", F.col("x.node").alias("a"), F.col("x.class").alias("of"), F.col("x.n").alias("an"), F.col("x.own").alias("aown"))
-        chosen = materialize(chosen, "leaders")
-        pairs = open_.join(chosen, "bucket").where(F.col("class") != F.col("of")).where(could_link("n", "own", "an", "aown")).select("a", F.col("node").alias("b")).distinct()
-        found = materialize(links_of(materialize(pairs, "pairs"), texts), "links")
-        if found.limit(1).count():
-            by_class = found
-            if classes is not None:
-                for side in ("a", "b"):
-                    by_class = by_class.join(classes.select(F.col("node").alias(side), F.col("class").alias("__c")), side, "left").withColumn(side, F.coalesce("__c", side)).drop("__c")
-            merged = components(by_class.where("a <> b")).withColumnRenamed("label", "merged")
-            if classes is None:
-                classes = materialize(merged.withColumnRenamed("merged", "class"), "classes")
-            else:
-                old = classes.join(merged.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("merged", "class").alias("class"))
-                new = merged.join(classes, "node", "left_anti").select("node", F.col("merged").alias("class"))
-                classes = materialize(old.unionByName(new), "classes")
-        live = open_.select(*members.columns).join(chosen.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
-        turn += 1
+        best = F.max_by(F.struct("node", "class", *FIGURES), F.struct("weight", "node"))
+        chosen = open_.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("share")).agg(best.alias("x"))
+        chosen = materialize(chosen.select("bucket", F.col("x.node").alias("a"), F.col("x.class").alias("of"), *(F.col(f"x.{c}").alias(f"a_{c}") for c in FIGURES)), "leaders")
+        likely = (F.col("class") != F.col("of")) & could_link({c: F.col(c) for c in FIGURES}, {c: F.col(f"a_{c}") for c in FIGURES})
+        pairs = open_.join(chosen, "bucket").where(likely).select("a", F.col("node").alias("b")).distinct()
+        classes = merged(classes, compared(materialize(pairs, "pairs"), texts).where(linked))
+        live = open_.drop("class").join(chosen.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        leaders *= LEADERS
 
 
 def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -234,15 +276,9 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     banded = nodes.where("bands IS NOT NULL").select("node", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(shared, "bucket").select("bucket", "node", "n", "size"), "members")
-    weights = materialize(members.groupBy("node").agg(F.sum("size").alias("weight"), F.max("size").alias("most")), "weights")
-    texts = materialize(rows.mapInArrow(packed_words, "node binary, words binary").join(weights.select("node"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")), "texts")
-    crowd = weights.where(F.col("most") > CROWD).select("node")
-    own = own_shingles(crowd, texts)
-    known = weights.join(own, "node", "left").select("node", "weight", F.when(F.col("most") > CROWD, F.coalesce("own", F.lit(0))).alias("own"))
-    # In a crowded bucket all nodes were counted: one with more keys of its own than a fifth is like no other there. Its smaller buckets may hold nodes that were not counted.
-    like_none = (F.col("size") > CROWD) & (F.col("own") > (1 - SIMILARITY) * F.col("n") + 1e-9)
-    alive = members.join(known, "node").where(~F.coalesce(like_none, F.lit(False))).select("bucket", "node", "n", "own", "weight")
-    classes = classes_of(materialize(alive, "alive"), texts)
+    weights = materialize(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    texts = materialize(texts_of(rows, nodes.join(weights, "node").select("node", "first_doc")), "texts")
+    classes = classes_of(members.join(weights, "node").select("bucket", "node", "n", "weight"), texts)
     firsts = nodes.select("node", "first_doc")
     if classes is None:
         return signed.select("doc", "node"), firsts.withColumn("class_doc", F.col("first_doc"))

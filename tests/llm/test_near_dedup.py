@@ -7,8 +7,10 @@ from factorium.llm import bag_minhash, common, near_dedup
 
 
 def bag(text):
+    """The multiset of shingles as a set: the k-th copy is an element of its own."""
     w = near_dedup.words_of(text)
-    return Counter([b" ".join(w)]) if 0 < len(w) < 5 else Counter(b" ".join(w[i : i + 5]) for i in range(len(w) - 4))
+    counts = Counter([b" ".join(w)]) if 0 < len(w) < 5 else Counter(b" ".join(w[i : i + 5]) for i in range(len(w) - 4))
+    return {(s, k) for s, c in counts.items() for k in range(c)}
 
 
 def brute(rows):
@@ -26,8 +28,7 @@ def brute(rows):
             t = rows[j][1]
             a, b = bags[i], bags[j]
             if a and b:
-                n, m = a.total(), b.total()
-                alike = min(n, m) >= 0.8 * max(n, m) and (a & b).total() >= 0.8 * (a | b).total() - 1e-9
+                alike = min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9
             else:
                 alike = not a and not b and s is not None and s == t or s is None and t is None and rows[i][0] == rows[j][0]
             if alike:
@@ -65,9 +66,29 @@ def test_classes_are_brute_force(spark, docs, sf):
     assert got == brute(rows)
 
 
-def test_own_shingles_bound_only_crowded_nodes(spark, docs, monkeypatch):
-    """A common passage followed by text of its own, and a near copy of that in no crowded bucket."""
-    monkeypatch.setattr(near_dedup, "CROWD", 3)
+def test_bounds_lose_no_link(spark, docs):
+    """Buckets of hundreds: near copies of one passage, and pairs that share a part of it and are like each other alone."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(100)]
+    texts = []
+    for _ in range(400):  # some within, some beyond the threshold
+        w = list(passage)
+        for _ in range(r.randrange(1, 8)):
+            w[r.randrange(100)] = word()
+        texts.append(w)
+    for _ in range(60):
+        both = passage[:60] + [word() for _ in range(30)]
+        texts += [both, both[:-1] + [word()], both[3:], both[8:]]
+    for _ in range(10):  # whatever the words, few keys are a text's own
+        texts.append([x for i in range(0, 100, 5) for x in r.choice(([*passage[i : i + 5]], [*passage[:2], *passage[i : i + 3]]))])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = sorted((tuple(x) for x in near_dedup.near_classes(docs(rows)).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_own_keys_and_passages(spark, docs):
+    """A common passage followed by text of its own, and a near copy of that."""
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     rows = []
