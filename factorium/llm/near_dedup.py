@@ -33,7 +33,7 @@ BANDS, ROWS = 40, 6
 #: Members of a leader in a part.
 PART = 500
 #: Leaders of a bucket in the second round; each further round has so many times more.
-LEADERS = 8
+LEADERS = 32
 #: Steps a doubling of size, and of a share of it, of the cells that sum a bucket's members.
 STEPS, SHARES = 32, 64
 
@@ -252,10 +252,10 @@ def classes_of(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     own = own_keys(rest.select("node").unionByName(rest.select(F.col("leader").alias("node"))).distinct(), texts)
     figures = rest.join(found.select(F.col("a").alias("leader"), F.col("b").alias("node"), "both"), ["leader", "node"], "left").join(own, "node", "left")
     free = F.col("n") - F.coalesce("own", F.lit(0))
-    live = figures.select("bucket", "node", "weight", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("both", F.least(free, "size")).alias("shared"), F.coalesce(free - F.col("both"), free).alias("rest"))
+    live = figures.select("bucket", "node", "weight", "class", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("both", F.least(free, "size")).alias("shared"), F.coalesce(free - F.col("both"), free).alias("rest"))
     leaders = LEADERS
     while True:
-        open_ = materialize(unsettled(with_class(live, classes)), "open")
+        open_ = materialize(unsettled(materialize(live, "live")), "open")
         if not open_.limit(1).count():
             return classes
         best = F.max_by(F.struct("node", "class", *FIGURES), F.struct("weight", "node"))
@@ -263,8 +263,10 @@ def classes_of(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         chosen = materialize(chosen.select("bucket", F.col("x.node").alias("a"), F.col("x.class").alias("of"), *(F.col(f"x.{c}").alias(f"a_{c}") for c in FIGURES)), "leaders")
         likely = (F.col("class") != F.col("of")) & could_link({c: F.col(c) for c in FIGURES}, {c: F.col(f"a_{c}") for c in FIGURES})
         pairs = open_.join(chosen, "bucket").where(likely).select("a", F.col("node").alias("b")).distinct()
-        classes = merged(classes, compared(materialize(pairs, "pairs"), texts).where(linked))
-        live = open_.drop("class").join(chosen.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        further = merged(classes, compared(materialize(pairs, "pairs"), texts).where(linked))
+        live = open_.join(chosen.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti")
+        if further is not classes:
+            classes, live = further, with_class(live.drop("class"), further)
         leaders *= LEADERS
 
 
@@ -276,8 +278,8 @@ def classify(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     banded = nodes.where("bands IS NOT NULL").select("node", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(shared, "bucket").select("bucket", "node", "n", "size"), "members")
-    weights = materialize(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    texts = materialize(texts_of(rows, nodes.join(weights, "node").select("node", "first_doc")), "texts")
+    weights = materialize(members.groupBy("node").agg(F.sum("size").alias("weight")).join(nodes.select("node", "first_doc"), "node"), "weights")
+    texts = materialize(texts_of(rows, weights.select("node", "first_doc")), "texts")
     classes = classes_of(members.join(weights, "node").select("bucket", "node", "n", "weight"), texts)
     firsts = nodes.select("node", "first_doc")
     if classes is None:
