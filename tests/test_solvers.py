@@ -354,3 +354,43 @@ def test_normal_blocks_are_numpy(spark):
         j[2 * a : 2 * a + 2], j[2 * b : 2 * b + 2] = [p, 1], [q, -1]
         h += 2 * np.outer(j, j)
     assert all(np.isclose(h[2 * i + r, 2 * j + c], x) for (i, j, r, c), x in got.items()) and len(got) == 6 * 4
+
+
+def test_lines_are_numbered_over_files_and_parts(spark, tmp_path):
+    """Without gaps, in the order of the files' names, though the larger file is read first and in several parts."""
+    want = [f"a {i}" for i in range(100)] + [f"b {i}" for i in range(3000)]
+    (tmp_path / "a.txt").write_text("".join(f"{x}\n" for x in want[:100]))
+    (tmp_path / "b.txt").write_text("".join(f"{x}\n" for x in want[100:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = [tuple(r) for r in graph_text.read_lines(spark, str(tmp_path)).orderBy("line").collect()]
+        limited = graph_text.fields(graph_text.read_lines(spark, str(tmp_path)), line_limit=2000).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(want))
+    assert limited == 2000
+
+
+def test_relative_errors_are_of_the_motions(spark):
+    """Against poses as matrices; a trajectory that is only moved and turned as a whole has none."""
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=(40, 3)), r.normal(size=(40, 3))
+    matrix = lambda p: np.array([[np.cos(p[2]), -np.sin(p[2]), p[0]], [np.sin(p[2]), np.cos(p[2]), p[1]], [0, 0, 1]])
+
+    def off(i, j):
+        motion = [np.linalg.inv(matrix(s[i])) @ matrix(s[j]) for s in (a, b)]
+        e = np.linalg.inv(motion[0]) @ motion[1]
+        return np.hypot(e[0, 2], e[1, 2]), np.degrees(abs(np.arctan2(e[1, 0], e[0, 0])))
+
+    columns = "idx long, " + ", ".join(f"{s}_{k} double" for s in "ab" for k in "xyt")
+    poses = spark.createDataFrame([(i, *map(float, a[i]), *map(float, b[i])) for i in range(40)], columns)
+    want = np.array([off(i, i - 3) for i in range(3, 40)])
+    got = trajectory.relative_error(poses, 3).first()
+    assert got.n == 37 and np.allclose([got.translation, got.rotation], want.sum(axis=0))
+    assert np.allclose([got.rmse_translation, got.rmse_rotation], np.sqrt((want**2).mean(axis=0)))
+    total = sum(off(i, j)[0] ** 2 for i in range(40) for j in range(i))
+    assert np.isclose(trajectory.relative_error_all(poses.selectExpr("1 AS g", "*"), ["g"]).first().squared_translation, total / 40)
+    moved = np.array([matrix((2, 1, 0.7)) @ matrix(p) for p in a])
+    same = spark.createDataFrame([(i, *map(float, a[i]), float(m[0, 2]), float(m[1, 2]), float(np.arctan2(m[1, 0], m[0, 0]))) for i, m in enumerate(moved)], columns)
+    assert trajectory.relative_error(same, 1).first().rmse_rotation < 1e-6
