@@ -57,10 +57,6 @@ class BundleResult:
     history: list[float]
 
 
-#: Observations of a point beyond which its elimination would pair too many cameras in one group.
-MOST_CAMERAS = 2_000
-
-
 def _eliminate(alpha: float):
     def run(key, b: pd.DataFrame) -> pd.DataFrame:
         """What one point leaves on its cameras: S -= Hcp Hpp^-1 Hcp', g -= Hcp Hpp^-1 gp."""
@@ -92,12 +88,12 @@ def reduced_system(parts: DataFrame, alpha: float) -> DataFrame:
 def _back_substitute(dx: dict[int, np.ndarray], alpha: float):
     def run(key, b: pd.DataFrame) -> pd.DataFrame:
         hpp = np.stack(b["hpp"]).sum(0).reshape(3, 3) + alpha * np.eye(3)
-        g = np.stack(b["gp"]).sum(0)
+        g = full = np.stack(b["gp"]).sum(0)
         for cam, h in zip(b["cam"], b["hcp"]):
             if cam in dx:
                 g = g - np.reshape(h, (6, 3)).T @ dx[cam]
         d = np.linalg.solve(hpp, g)
-        return pd.DataFrame([(key[0], *map(float, d))], columns=["point", "d0", "d1", "d2"])
+        return pd.DataFrame([(key[0], *map(float, d), float(d @ (alpha * d + full)))], columns=["point", "d0", "d1", "d2", "gain"])
 
     return run
 
@@ -138,16 +134,19 @@ def bundle_adjust(edges: DataFrame, cameras: DataFrame, points: DataFrame, itera
         except np.linalg.LinAlgError:
             break
         dx = {c: x[i : i + 6] for c, i in at.items()}
-        moved = settle(parts.select("point", "cam", "hcp", "hpp", "gp").groupBy("point").applyInPandas(_back_substitute(dx, policy.alpha), "point long, d0 double, d1 double, d2 double"))
-        step = moved.agg(F.sum(F.col("d0") ** 2 + F.col("d1") ** 2 + F.col("d2") ** 2)).first()[0] or 0.0
+        moved = settle(parts.select("point", "cam", "hcp", "hpp", "gp").groupBy("point").applyInPandas(_back_substitute(dx, policy.alpha), "point long, d0 double, d1 double, d2 double, gain double"))
+        step, gain = (v or 0.0 for v in moved.agg(F.sum(F.col("d0") ** 2 + F.col("d1") ** 2 + F.col("d2") ** 2), F.sum("gain")).first())
         if np.sqrt(float(x @ x) + step) <= threshold:
             break
+        # What the linear system promises: its own right side, before the points were eliminated.
+        own = {r.cam: r.g for r in parts.groupBy("cam").agg(_sum_arrays("gc", 6).alias("g")).toLocalIterator()}
+        bottom = gain + sum(float(d @ (policy.alpha * d + np.array(own[c]))) for c, d in dx.items() if c in own)
         new_state = {c: sp.compose(s, dx[c]) if c in dx else s for c, s in state.items()}
         new_points = settle(points.join(moved, "point", "left").select("point", *[(F.col(k) + F.coalesce(f"d{i}", F.lit(0.0))).alias(k) for i, k in enumerate("xyz")]))
         new = chi2_of(edges, frame(new_state), new_points)
         if new < error:
             state, points = new_state, new_points
-            policy.better(min(1.0, (error - new) / max(error, 1e-300)))
+            policy.better((error - new) / bottom if bottom else 0.0)
             error = new
             history.append(new)
             done += 1
