@@ -138,7 +138,7 @@ def split(text: str, path: str) -> list[str]:
 def pieces(text: str, path: str) -> Iterator[list[str] | int]:
     """Words between special tokens, and the special tokens' ids."""
     special = merger(path).special
-    if "<|" not in text or not any(s in text for s in special):
+    if not any(s in text for s in special):
         yield split(text, path)
         return
     for part in regex.split("(" + "|".join(map(regex.escape, special)) + ")", text):
