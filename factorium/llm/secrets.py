@@ -114,12 +114,12 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
 
 
 def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
-    """docs with the column `secrets`: an array of (start, order, end, kind), by start and then as the rules are listed.
+    """docs with one more column, last, `secrets` (`secrets_` if docs has one of that name, and so on): an array of (start, order, end, kind), by start and then as the rules are listed.
 
     A null text is empty and has none; the text is whole whatever its length; repeated rows are each scanned.
     """
     rules = base + more
-    doc, met, text = fresh(docs, "__doc", "__rules", "__text")
+    doc, met, text, spans = fresh(docs, "__doc", "__rules", "__text", "secrets")
     found = candidates(postings(docs, vocabulary(rules)), rules).withColumnsRenamed({"doc": doc, "rules": met})
     rows = docs.withColumn(doc, id_key()).join(found, doc, "left").withColumn(text, F.coalesce("text", F.lit("")))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
         else:
             tried = F.col(text).rlike(r.guard) if r.guard else F.lit(True)
         parts.append(F.when(tried, spans_of(F.col(text), r, i)).otherwise(none))
-    return rows.withColumn("secrets", F.array_sort(F.concat(*parts))).drop(doc, met, text)
+    return rows.withColumn(spans, F.array_sort(F.concat(*parts))).drop(doc, met, text)
 
 
 def written(spans: Column) -> Column:
