@@ -24,6 +24,8 @@ MIN_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 #: Captures a file at most, which bounds what a reading task holds.
 CAPTURES_A_FILE = 20_000
+#: Parts that the pages of one payload are dealt into; one bit of a long for each.
+PARTS = 64
 
 
 def record(headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -36,12 +38,18 @@ def record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
-    """pages with __payload, __bytes, __digest and __first, the smallest page_id of the equal payloads of at least MIN_REVISIT bytes (null for small ones)."""
+    """pages with __payload, __bytes, __digest and __first, the smallest page_id of the equal payloads of at least MIN_REVISIT bytes (null for small ones, and for a payload that one row has).
+
+    Pages of one payload are dealt into parts by page_id and url, so that a payload of very many pages, the empty one too, is no single task's.
+    """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("__payload"), F.octet_length(payload).cast("long").alias("__bytes"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("__digest"))
-    # Partial sums keep a frequent payload to a row a task; only payloads that repeat are joined back.
-    firsts = rows.where(F.col("__bytes") >= MIN_REVISIT).groupBy("__digest").agg(F.min(F.coalesce("page_id", F.lit(NULL_ID))).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return rows.join(firsts, "__digest", "left")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), part)
+    # Partial sums keep a frequent payload to a row a task; a payload that repeats is joined back once for each part it has pages in.
+    firsts = rows.where(F.col("__bytes") >= MIN_REVISIT).groupBy("__digest").agg(F.min(F.coalesce("page_id", F.lit(NULL_ID))).alias("__first"), F.count("*").alias("__n"), F.bit_or(bit).alias("__parts")).where("__n > 1")
+    held = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.getbit("__parts", i) == 1)
+    return rows.withColumn("__part", part).join(firsts.select("__digest", "__first", F.explode(held).alias("__part")), ["__digest", "__part"], "left").drop("__part")
 
 
 def captures(pages: DataFrame) -> DataFrame:

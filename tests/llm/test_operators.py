@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factorium.llm import common, decontaminate, fm_index, language_id, line_dedup, quality_classifier, quality_rules, sharding, warc
 
@@ -238,6 +239,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert sum(r.response.warc_type == "revisit" for r in rows) == 4
 
 
+def test_revisits_of_frequent_payloads(spark):
+    rows = [(i, f"u{i % 7}", h) for i in range(400) for h in [("p" * 150, None, "q" * (100 + i), "r" * 99)[i % 4]]]
+    rows += [(None, None, "p" * 150), (3, "again", "p" * 150), (500, "u", "s" * 100), (500, "u", "s" * 100), (None, "u", "t" * 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((common.NULL_ID if r.page_id is None else r.page_id, r.url or "", r["__payload"], r["__first"]) for r in warc.mark_revisits(pages).select("page_id", "url", "__payload", F.coalesce("__first", F.lit(-1)).alias("__first")).collect())
+    many = {h: [common.NULL_ID if p is None else p for p, _, x in rows if x == h] for _, _, h in rows if h and len(h) >= 100}
+    want = sorted((common.NULL_ID if p is None else p, u or "", h or "", min(many[h]) if len(many.get(h, [])) > 1 else -1) for p, u, h in rows)
+    assert got == want
+    assert {r.page_id: r["__first"] for r in warc.mark_revisits(pages).where("url = 'again'").collect()} == {3: 0}
+
+
 def test_warc_reads_members_and_plain():
     import gzip
 
