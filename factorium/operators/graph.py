@@ -9,6 +9,8 @@ from ..checkpoints import settle
 
 #: Edges and vertices up to which a graph is worked on by the driver; beyond, by rounds of joins.
 SMALL = 200_000
+#: Cameras of a landmark, about, that a task pairs with as many others.
+BLOCK = 2_000
 
 
 def is_small(vertices: DataFrame, edges: DataFrame, small: int) -> bool:
@@ -37,18 +39,27 @@ class Forest:
         return True
 
 
-def covisibility(observations: DataFrame) -> DataFrame:
-    """(lo, hi, weight) of cameras that see a common landmark, from (line, cam, landmark): 1 for each pair of a new with an earlier observation of it. A camera that sees a landmark twice pairs with itself."""
-    a = observations.select("landmark", F.col("line").alias("la"), F.col("cam").alias("ca"))
-    b = observations.select("landmark", F.col("line").alias("lb"), F.col("cam").alias("cb"))
-    pairs = a.join(b, "landmark").where("la < lb")
-    return pairs.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(F.count("*").alias("weight"))
+def meetings(seen: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(lo, hi, n_lo, n_hi) for each landmark that two cameras share, from distinct (landmark, cam, n). The cameras of a landmark seen by more than `block` are dealt into parts, and each two parts meet in a cell of their own."""
+    crowded = seen.groupBy("landmark").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = seen.join(crowded, "landmark", "left").withColumn("part", F.pmod(F.xxhash64("cam"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    lo = dealt.select("landmark", F.col("part").alias("i"), F.col("other").alias("j"), F.col("cam").alias("lo"), F.col("n").alias("n_lo"))
+    hi = dealt.select("landmark", F.col("other").alias("i"), F.col("part").alias("j"), F.col("cam").alias("hi"), F.col("n").alias("n_hi"))
+    return lo.join(hi, ["landmark", "i", "j"]).where("lo < hi").select("lo", "hi", "n_lo", "n_hi")
 
 
-def co_observation(observations: DataFrame) -> DataFrame:
-    """(lo, hi, shared): distinct landmarks that two different cameras share."""
-    d = observations.select("cam", "landmark").distinct()
-    return d.join(d.select(F.col("cam").alias("cam_b"), "landmark"), "landmark").where("cam < cam_b").groupBy(F.col("cam").alias("lo"), F.col("cam_b").alias("hi")).agg(F.count("*").alias("shared"))
+def covisibility(observations: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(lo, hi, weight) of cameras that see a common landmark, from (cam, landmark): 1 for each two observations of it. A camera that sees a landmark twice pairs with itself; a null camera or landmark pairs with none."""
+    seen = observations.where("cam IS NOT NULL AND landmark IS NOT NULL").groupBy("landmark", "cam").agg(F.count("*").alias("n"))
+    alone = seen.where("n > 1").groupBy("cam").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("weight")).select(F.col("cam").alias("lo"), F.col("cam").alias("hi"), "weight")
+    return meetings(seen, block).groupBy("lo", "hi").agg(F.sum(F.col("n_lo") * F.col("n_hi")).alias("weight")).unionByName(alone)
+
+
+def co_observation(observations: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(lo, hi, shared): distinct landmarks that two different cameras share; a null camera or landmark is shared by none."""
+    seen = observations.where("cam IS NOT NULL AND landmark IS NOT NULL").select("landmark", "cam").distinct().withColumn("n", F.lit(1))
+    return meetings(seen, block).groupBy("lo", "hi").agg(F.count("*").alias("shared"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ def query(sql: str | None):
 
 
 def observations(spark, sf):
-    """(line, cam, landmark): orders see parts."""
-    return table(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("line"), F.col("l_orderkey").alias("cam"), F.col("l_partkey").alias("landmark"))
+    """(cam, landmark): orders see parts."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("cam"), F.col("l_partkey").alias("landmark"))
 
 
 def supply(spark, sf):

@@ -394,3 +394,20 @@ def test_relative_errors_are_of_the_motions(spark):
     moved = np.array([matrix((2, 1, 0.7)) @ matrix(p) for p in a])
     same = spark.createDataFrame([(i, *map(float, a[i]), float(m[0, 2]), float(m[1, 2]), float(np.arctan2(m[1, 0], m[0, 0]))) for i, m in enumerate(moved)], columns)
     assert trajectory.relative_error(same, 1).first().rmse_rotation < 1e-6
+
+
+@pytest.mark.parametrize("block", [2, 2000])
+def test_shared_landmarks_split_and_whole(spark, block):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(9), 0) for _ in range(40)] + [(rnd.randrange(30), rnd.randrange(1, 12)) for _ in range(80)] + [(None, 0), (None, 1), (4, None), (5, None)]
+    sees = spark.createDataFrame(rows, "cam long, landmark long")
+    weight, shared = {}, {}
+    for (c, m), (d, k) in combinations([r for r in rows if None not in r], 2):
+        if m == k:
+            at = (min(c, d), max(c, d))
+            weight[at] = weight.get(at, 0) + 1
+            if c != d:
+                shared.setdefault(at, set()).add(m)
+    assert {(r.lo, r.hi): r.weight for r in graph.covisibility(sees, block).collect()} == weight
+    assert {(r.lo, r.hi): r.shared for r in graph.co_observation(sees, block).collect()} == {k: len(v) for k, v in shared.items()}
+    assert graph.covisibility(sees.limit(0), block).count() == graph.co_observation(sees.limit(0), block).count() == 0
