@@ -52,6 +52,25 @@ def parse_edges_2d(spark, sf):
     return e.select("line", "v0", "v1", clean(F.col("dx")).alias("dx"), clean(F.col("dy")).alias("dy"), "dt", F.col("info")[2].alias("i2"))
 
 
+def spatial_lines(spark, sf):
+    """A spatial text graph, an edge for each event, with turns as roll, pitch and yaw."""
+    e = F.col("event_id")
+    info = F.lit(" 1 0 0 0 0 0 1 0 0 0 0 1 0 0 0 1 0 0 1 0 1")
+    angles = [((e % m - h) / 8.0).cast("string") for m, h in ((17, 8), (11, 5), (23, 11))]
+    return table(spark, sf, "events").select(e.alias("line"), F.concat(F.concat_ws(" ", F.lit("EDGE3"), "user_id", F.col("user_id") * 7 % 150, "value", F.lit("0.5 -1"), *angles), info).alias("value"))
+
+
+@query(f"""WITH a AS (SELECT event_id AS line, user_id AS v0, user_id * 7 % 150 AS v1, value AS x, (event_id % 17 - 8) / 8.0 AS r, (event_id % 11 - 5) / 8.0 AS p, (event_id % 23 - 11) / 8.0 AS w FROM events WHERE user_id < user_id * 7 % 150),
+m AS (SELECT *, cos(p) * sin(r) + cos(w) * sin(r) - sin(w) * sin(p) * cos(r) AS ax, sin(w) * sin(r) + cos(w) * sin(p) * cos(r) + sin(p) AS ay, sin(w) * cos(p) - cos(w) * sin(p) * sin(r) + sin(w) * cos(r) AS az,
+  cos(w) * cos(p) + sin(w) * sin(p) * sin(r) + cos(w) * cos(r) + cos(p) * cos(r) - 1 AS c FROM a),
+n AS (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS s FROM m),
+f AS (SELECT *, CASE WHEN s < 1e-12 THEN 0 ELSE atan2(s, c) / s END AS k FROM n)
+SELECT line, v0, v1, x, {clean_sql('k * ax')} AS turn_x, {clean_sql('k * ay')} AS turn_y, {clean_sql('k * az')} AS turn_z FROM f""")
+def parse_edges_3d(spark, sf):
+    e = g.edges_3d(g.parse(spatial_lines(spark, sf)))
+    return e.select("line", F.col("ids")[0].alias("v0"), F.col("ids")[1].alias("v1"), F.col("z")[0].alias("x"), *[clean(F.col("z")[3 + i]).alias(f"turn_{c}") for i, c in enumerate("xyz")])
+
+
 @query(f"SELECT u AS id, min(line) AS line, {clean_sql('min_by(v, line)', 2)} AS x FROM {_E} WHERE r = 0 GROUP BY u")
 def first_vertices(spark, sf):
     return g.vertices(g.parse(planar_lines(spark, sf))).select("id", "line", clean(F.col("state")[0], 2).alias("x"))

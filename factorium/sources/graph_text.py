@@ -123,15 +123,28 @@ def edges_2d(records: DataFrame) -> DataFrame:
     return e.select("line", F.least("a", "b").alias("v0"), F.greatest("a", "b").alias("v1"), F.when(turned, q.x).otherwise(p.x).alias("dx"), F.when(turned, q.y).otherwise(p.y).alias("dy"), F.when(turned, q.t).otherwise(p.t).alias("dt"), F.when(turned, F.array(i[0], i[1], i[5], i[2], i[4], i[3])).otherwise(i).alias("info"))
 
 
+def with_states(records: DataFrame) -> DataFrame:
+    """records with z as the solvers take it: Pose3D_RPY becomes Pose3D, its turn an axis times the angle; a camera's position and quaternion become those of the inverse pose, with the turn likewise. All other z stay."""
+    from ..functions import turns
+
+    z = lambda i: F.get("z", F.lit(i))
+    rpy, camera = F.col("type") == "Pose3D_RPY", F.col("type").isin("Cam", "SCam")
+    quaternion = F.when(rpy, F.array(*turns.rpy_quaternion(z(3), z(4), z(5)))).when(camera, F.array(*turns.inverse([z(i) for i in range(3, 7)])))
+    q = [F.get("__q", F.lit(i)) for i in range(4)]
+    turn = F.array(*turns.axis_angle(q))
+    state = F.when(rpy, F.concat(F.slice("z", 1, 3), turn)).when(camera, F.concat(F.array(*turns.turned(q, [-z(i) for i in range(3)])), turn, F.slice("z", 8, 6))).otherwise(F.col("z"))
+    return records.withColumn("__q", quaternion).withColumns({"z": state, "type": F.when(rpy, "Pose3D").otherwise(F.col("type"))}).drop("__q")
+
+
 def edges_3d(records: DataFrame) -> DataFrame:
-    """Spatial pose edges; one whose first id isn't smaller is dropped."""
-    return records.where("type IN ('Pose3D', 'Pose3D_RPY') AND kind = 'edge' AND ids[0] < ids[1]")
+    """Spatial pose edges, turns as axis times angle; one whose first id isn't smaller is dropped."""
+    return with_states(records.where("type IN ('Pose3D', 'Pose3D_RPY') AND kind = 'edge' AND ids[0] < ids[1]"))
 
 
 def vertices(records: DataFrame) -> DataFrame:
-    """(id, type, state, line): of lines that repeat an id the first counts."""
+    """(id, type, state, line): of lines that repeat an id the first counts; states as by with_states."""
     first = Window.partitionBy("id").orderBy("line")
-    return records.where("kind = 'vertex'").select(F.col("ids")[0].alias("id"), "type", F.col("z").alias("state"), "line").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    return with_states(records.where("kind = 'vertex'")).select(F.col("ids")[0].alias("id"), "type", F.col("z").alias("state"), "line").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
 def segments(lines: DataFrame) -> DataFrame:

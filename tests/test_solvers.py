@@ -411,3 +411,26 @@ def test_shared_landmarks_split_and_whole(spark, block):
     assert {(r.lo, r.hi): r.weight for r in graph.covisibility(sees, block).collect()} == weight
     assert {(r.lo, r.hi): r.shared for r in graph.co_observation(sees, block).collect()} == {k: len(v) for k, v in shared.items()}
     assert graph.covisibility(sees.limit(0), block).count() == graph.co_observation(sees.limit(0), block).count() == 0
+
+
+def test_spatial_lines_become_states(spark):
+    turns = np.vstack((RNG.uniform(-3, 3, size=(20, 3)), np.zeros((1, 3)), [[1e-9, 0, 0]]))
+    quats = np.vstack((RNG.normal(size=(20, 4)), [[0, 0, 0, 1], [0, 0, 0, -2]]))
+    at = RNG.normal(size=(22, 3))
+    line = lambda *x: " ".join(map(str, x))
+    info = [1.0] * 21
+    text = [line("EDGE3", i, i + 1, *p.tolist(), *t.tolist(), *info) for i, (p, t) in enumerate(zip(at, turns))]
+    text += [line("EDGE3", 5, 5, *at[0].tolist(), *turns[0].tolist(), *info), line("EDGE3:AXISANGLE", 100, 101, 1.0, 2.0, 3.0, 0.1, 0.2, 0.3, *info)]
+    text += [line("VERTEX3", 200 + i, *p.tolist(), *t.tolist()) for i, (p, t) in enumerate(zip(at, turns))]
+    text += [line("VERTEX_CAM", 300 + i, *p.tolist(), *q.tolist(), 500.0, 501.0, 3.0, 4.0, 0.1) for i, (p, q) in enumerate(zip(at, quats))]
+    text += [line("VERTEX_SCAM", 400, *at[0].tolist(), *quats[0].tolist(), 500.0, 501.0, 3.0, 4.0, 0.1, 0.25), line("VERTEX_XYZ", 500, 1.0, 2.0, 3.0), line("VERTEX_SPHERON:QUAT", 501, 1.0, 2.0, 3.0, 0.0, 0.0, 0.6, 0.8)]
+    records = graph_text.parse(spark.createDataFrame(list(enumerate(text)), "line long, value string"))
+    edges = {r.ids[0]: r for r in graph_text.edges_3d(records).collect()}
+    assert len(edges) == 23 and {r.type for r in edges.values()} == {"Pose3D"}
+    want = np.hstack((at, sp.rpy_to_axis_angle(turns)))
+    assert np.allclose([edges[i].z for i in range(22)], want, atol=1e-7) and edges[100].z == [1.0, 2.0, 3.0, 0.1, 0.2, 0.3]
+    states = {r.id: r.state for r in graph_text.vertices(records).collect()}
+    assert np.allclose([states[200 + i] for i in range(22)], want, atol=1e-7)
+    cameras = np.hstack((sp.camera_from_file(at, quats), np.tile([500.0, 501.0, 3.0, 4.0, 0.1], (22, 1))))
+    assert np.allclose([states[300 + i] for i in range(22)], cameras, atol=1e-7)
+    assert np.allclose(states[400], [*cameras[0], 0.25]) and states[500] == [1.0, 2.0, 3.0] and states[501] == [1.0, 2.0, 3.0, 0.0, 0.0, 0.6, 0.8]
