@@ -434,3 +434,14 @@ def test_spatial_lines_become_states(spark):
     cameras = np.hstack((sp.camera_from_file(at, quats), np.tile([500.0, 501.0, 3.0, 4.0, 0.1], (22, 1))))
     assert np.allclose([states[300 + i] for i in range(22)], cameras, atol=1e-7)
     assert np.allclose(states[400], [*cameras[0], 0.25]) and states[500] == [1.0, 2.0, 3.0] and states[501] == [1.0, 2.0, 3.0, 0.0, 0.0, 0.6, 0.8]
+
+
+def test_first_guesses_by_driver_and_by_joins(spark):
+    rnd = random.Random(11)
+    rows = [(i, i, i + 1) for i in range(20)] + [(100 - i, a, b) for i in range(40) for a, b in [sorted(rnd.sample(range(21), 2))]]
+    rows += [(7, 3, 9), (7, 3, 9), (200, 40, 41)]
+    data = [(e, a, b, rnd.uniform(-2, 2), rnd.uniform(-2, 2), rnd.uniform(-3, 3)) for e, a, b in rows]
+    edges = spark.createDataFrame(data, "eid long, v0 long, v1 long, dx double, dy double, dt double")
+    driver, joins = ({r.v: (r.x, r.y, r.t) for r in optimize.initial_states(edges, small=n).collect()} for n in (1000, 0))
+    assert set(driver) == set(joins) == set(range(21))
+    assert all(np.allclose(driver[v], joins[v]) for v in driver)
