@@ -54,35 +54,42 @@ def folded(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - BITS)).astype(np.uint32)
 
 
-def hashes(codes: np.ndarray, place: np.ndarray, inside: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of the characters at `inside`, none the first of its word: the hashes of the n-grams that end there, an array an order, and of the n-1 characters before, alike.
+def ngrams(codes: np.ndarray, place: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the n-grams that end at the characters `inside`, none the first of its word: an array an order.
 
-    Where a word has fewer characters before, the longest there is stands for the longer ones.
+    Where a word has fewer characters before, the longest n-gram there is stands for the longer ones.
     """
-    grams, key = [], mix(codes[inside] + GOLD)
-    grams.append(folded(key))
+    out = [mix(codes[inside] + GOLD)]
     for n in range(1, ORDER):
-        longer = mix(key * np.uint64(31) + codes[np.maximum(inside - n, 0)] + np.uint64(n))
-        key = np.where(place[inside] >= n, longer, key)
-        grams.append(folded(key))
-    contexts, key = [np.zeros(len(inside), dtype=np.uint32)], mix(codes[inside - 1] ^ GOLD)
+        longer = mix(out[-1] * np.uint64(31) + codes[np.maximum(inside - n, 0)] + np.uint64(n))
+        out.append(np.where(place[inside] >= n, longer, out[-1]))
+    return out
+
+
+def contexts(codes: np.ndarray, place: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the n-1 characters before, alike."""
+    out, key = [np.zeros(len(inside), dtype=np.uint64)], mix(codes[inside - 1] ^ GOLD)
     for n in range(1, ORDER):
-        contexts.append(folded(key))
+        out.append(key)
         longer = mix(key * np.uint64(37) + codes[np.maximum(inside - 1 - n, 0)] + np.uint64(n))
         key = np.where(place[inside] > n, longer, key)
-    return grams, contexts
+    return out
 
 
-def of_words(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The hashes of each character of ' word ' but the first."""
+def of_words(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of the characters of all ' word ' but the first: hashes of the different ones (those that end different n-grams), and which of these each character is."""
     codes, _, place = spread([f" {w} " for w in words])
-    return hashes(codes, place, np.flatnonzero(place > 0))
+    inside = np.flatnonzero(place > 0)
+    grams = ngrams(codes, place, inside)
+    _, first, which = np.unique(grams[-1], return_index=True, return_inverse=True)
+    return [folded(g[first]) for g in grams], [folded(c) for c in contexts(codes, place, inside[first])], which
 
 
 def of_grams(grams: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The hashes of each n-gram's last character."""
     codes, starts, place = spread(grams)
-    return hashes(codes, place, np.append(starts[1:], len(codes)) - 1)
+    last = np.append(starts[1:], len(codes)) - 1
+    return [folded(g) for g in ngrams(codes, place, last)], [folded(c) for c in contexts(codes, place, last)]
 
 
 @dataclass
@@ -144,11 +151,11 @@ class Scorer:
             self.scores = np.concatenate((self.scores[:size], np.zeros((size + 2 * len(new), len(self.models)))))
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
-            gram, context = of_words(part)
+            gram, context, which = of_words(part)
             sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             for i, m in enumerate(self.models):
-                self.scores[size + at : size + at + len(part), i] = np.add.reduceat(m.log_probabilities(gram, context), starts)
+                self.scores[size + at : size + at + len(part), i] = np.add.reduceat(m.log_probabilities(gram, context)[which], starts)
         self.seen.update(zip(new, range(size, size + len(new))))
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
