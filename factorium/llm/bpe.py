@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,21 @@ LEAST = 3
 REMEMBERED = 400_000
 
 #: Letters up to which a word is merged by a plain list, and what stands for no rank.
-SHORT, NO_RANK = 40, 1 << 30
+SHORT, NO_RANK = 40, 1 << 62
 
-#: The splitter's pattern in the vocabulary file, and the white space that its normalizer makes one blank.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t\n\x0b\x0c\r\x20\x85\xa0\p{L}\p{N}]+")
 #: Below U+0250 every character is composed already, and lower case is a matter of single characters.
-PLAIN = regex.compile(r"[^\x00-ɏ]")
+PLAIN = re.compile(r"[^\x00-ɏ]")
+
+
+def plain_words() -> re.Pattern:
+    """The splitter's pattern for lower-cased plain texts, with the letters and numbers that can occur spelled out."""
+    kinds = {c: unicodedata.category(c)[0] for c in sorted({c for i in range(0x250) for c in chr(i) + chr(i).lower()})}
+    letters, numbers = ("".join(re.escape(c) for c, k in kinds.items() if k == kind) for kind in "LN")
+    # The pattern in the vocabulary file, and the white space that its normalizer makes one blank.
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t\n\x0b\x0c\r\x20\x85\xa0{letters}{numbers}]+")
+
+
+WORDS = plain_words()
 
 
 def byte_letters() -> list[str]:
@@ -62,28 +72,37 @@ class Merger:
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
+        # The same by ids, for short words: a pair's rank and, in the lower bits, the id that it becomes.
+        self.bits = max(self.vocab.values(), default=0).bit_length()
+        self.joined = {(self.vocab[a], self.vocab[b]): i << self.bits | self.vocab[a + b] for (a, b), i in self.ranks.items()}
+        self.inner = [self.vocab.get(c) for c in self.letters]
+        self.final = [self.vocab.get(c + self.suffix) for c in self.letters]
         self.written = {i: t.encode() + b" " for i, t in self.tokens.items()}
 
     def merge(self, word: str) -> list[int]:
         """The ids of a word that is not empty: again and again the leftmost pair of the lowest rank becomes one."""
-        parts = [self.letters[b] for b in word.encode()]
-        parts[-1] += self.suffix
-        if len(parts) > SHORT:
+        spelled = word.encode()
+        if len(spelled) > SHORT:
+            parts = [self.letters[b] for b in spelled]
+            parts[-1] += self.suffix
             return self.merge_long(parts)
-        get = self.ranks.get
-        found = [get(p, NO_RANK) for p in zip(parts, parts[1:])]
+        inner, get = self.inner, self.joined.get
+        ids = [inner[b] for b in spelled]
+        ids[-1] = self.final[spelled[-1]]
+        lower = (1 << self.bits) - 1
+        found = [get(p, NO_RANK) for p in zip(ids, ids[1:])]
         while found:
             least = min(found)
             if least == NO_RANK:
                 break
             i = found.index(least)
-            parts[i] += parts.pop(i + 1)
-            del found[i]
+            ids[i] = new = least & lower
+            del ids[i + 1], found[i]
             if i < len(found):
-                found[i] = get((parts[i], parts[i + 1]), NO_RANK)
+                found[i] = get((new, ids[i + 1]), NO_RANK)
             if i:
-                found[i - 1] = get((parts[i - 1], parts[i]), NO_RANK)
-        return [self.vocab[p] for p in parts]
+                found[i - 1] = get((ids[i - 1], new), NO_RANK)
+        return ids
 
     def merge_long(self, parts: list[str | None]) -> list[int]:
         """The same by a heap of pairs over a linked list: n log n in the word's length."""
@@ -141,7 +160,7 @@ def pieces(text: str, path: str) -> Iterator[list[str] | int]:
     if not any(s in text for s in special):
         yield split(text, path)
         return
-    for part in regex.split("(" + "|".join(map(regex.escape, special)) + ")", text):
+    for part in re.split("(" + "|".join(map(re.escape, special)) + ")", text):
         if part in special:
             yield special[part]
         elif part:
@@ -236,11 +255,13 @@ class Encoder:
     def encode(self, text: str | None) -> tuple[bytes, int, bytes]:
         """Packed ids, how many, and the decoded text."""
         got: list[tuple[bytes, int, bytes]] = []
+        word = self.word
         for part in pieces(text or "", self.path):
             if isinstance(part, int):
                 got.append(self.pack([part]))
             else:
-                got += [self.word(w) for w in part]
+                seen = self.seen.get
+                got += [seen(w) or word(w) for w in part]
         return b"".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])[:-1]
 
 

@@ -41,6 +41,14 @@ def test_words_merge_exactly(text):
     assert ids == bpe.library(path).encode(text, add_special_tokens=False).ids
 
 
+def test_each_plain_character_is_split_as_the_library_does():
+    path = bpe.vocabulary_path()
+    e = bpe.Encoder(path, None)
+    for c in map(chr, range(0x260)):
+        text = f"a{c}B {c}{c}1{c} '{c}'s{c}'ll {c}"
+        assert np.frombuffer(e.encode(text)[0], dtype="<u4").tolist() == bpe.library(path).encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.binary(min_size=1, max_size=6), st.lists(st.integers(0, 50000), min_size=1, max_size=4), max_size=40))
 def test_lexicon_round_trip(words):
